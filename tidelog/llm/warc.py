@@ -7,7 +7,12 @@ CRLF, and read back whole file by whole file, each of bounded size.
 
 from __future__ import annotations
 
+import gzip
+import io
+import itertools
 import re
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import scratch, text_or_empty
 
-#: Bytes of payload that an archive file should hold, about; a single larger page makes a larger file.
-FILE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 #: Fixed values of the format: the base32 alphabet and the profile of a revisit by payload digest.
@@ -97,24 +100,24 @@ def write_archives(resolved: DataFrame, path: str, date: str = DATE, per_file: i
     )
 
 
-def parse_archive(data: bytes) -> list[tuple]:
-    """The records of an archive: type, id, refers_to, digest, payload length, payload (None: revisit)."""
-    found, at = [], 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at) + 4
-        head = data[at:head_end].decode("utf-8", "replace")
-        fields = dict(re.findall(r"(?m)^([A-Za-z-]+): ?(.*?)\r$", head))
-        length = int(fields["Content-Length"])
-        block = data[head_end : head_end + length]
-        http_end = block.index(b"\r\n\r\n") + 4
-        of_payload = int(re.search(rb"Content-Length: (\d+)", block[:http_end])[1])
-        kind = fields["WARC-Type"]
-        payload = block[http_end:] if kind == "response" else None
-        if payload is not None and len(payload) != of_payload:
+def parse_archive(stream: BinaryIO) -> Iterator[tuple]:
+    """The records of an archive: type, id, refers_to, digest, payload length, payload (None: revisit).
+
+    Reads one record at a time, so that memory holds the largest record and not the file.
+    """
+    while line := stream.readline():
+        head = [line]
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            head.append(line)
+        fields = dict(x.decode("utf-8", "replace").rstrip("\r\n").split(": ", 1) for x in head[1:])
+        block = stream.read(int(fields["Content-Length"]))
+        stream.read(4)
+        http, _, payload = block.partition(b"\r\n\r\n")
+        of_payload = int(re.search(rb"Content-Length: (\d+)", http)[1])
+        kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if kind == "response" and len(payload) != of_payload:
             raise ValueError(f"record {fields['WARC-Record-ID']}: {len(payload)} bytes of payload, not {of_payload}")
-        found.append((kind, fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), fields["WARC-Payload-Digest"].removeprefix("sha1:"), of_payload, payload))
-        at = head_end + length + 4
-    return found
+        yield kind, fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), digest, of_payload, payload if kind == "response" else None
 
 
 READ_SCHEMA = "record_type string, record_id string, refers_id string, payload_digest string, payload_bytes long, payload binary"
@@ -123,13 +126,16 @@ READ_SCHEMA = "record_type string, record_id string, refers_id string, payload_d
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row per record of the archives under path: READ_SCHEMA; payload is null for revisits, or if not asked for."""
 
-    def parse(batches):
-        import gzip
+    columns = [c.split()[0] for c in READ_SCHEMA.split(", ")]
 
+    def parse(batches):
         for batch in batches:
             for data in batch["content"]:
-                rows = parse_archive(gzip.decompress(data))
-                yield pd.DataFrame([r if payloads else (*r[:5], None) for r in rows], columns=[c.split()[0] for c in READ_SCHEMA.split(", ")])
+                records = parse_archive(gzip.open(io.BytesIO(data)))
+                if not payloads:
+                    records = ((*r[:5], None) for r in records)
+                while rows := list(itertools.islice(records, 256)):
+                    yield pd.DataFrame(rows, columns=columns)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInPandas(parse, READ_SCHEMA)
