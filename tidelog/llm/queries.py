@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
+from . import decontaminate as decon
 from . import langid, near_dedup, packing, warc
 
 
@@ -30,6 +31,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decon.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op6_warc_revisits": op6_warc_revisits,
+    "op7_decontamination": op7_decontamination,
     "op9_packing": op9_packing,
     "op10_near_dedup": op10_near_dedup,
 }
