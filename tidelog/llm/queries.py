@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
 from . import decontaminate as decon
-from . import langid, near_dedup, packing, warc
+from . import langid, near_dedup, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
+    "op4_quality": op4_quality,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_decontamination": op7_decontamination,
     "op9_packing": op9_packing,
