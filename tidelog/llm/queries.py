@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as exact
 from . import decontaminate as decon
-from . import langid, near_dedup, packing, quality, warc
+from . import html_text, langid, near_dedup, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
+    "op5_html_text": op5_html_text,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_decontamination": op7_decontamination,
     "op9_packing": op9_packing,
