@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup as exact
 from . import decontaminate as decon
-from . import html_text, langid, near_dedup, packing, quality, warc
+from . import exact_dedup as exact
+from . import chat, html_text, langid, near_dedup, packing, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -52,17 +60,34 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
     "op5_html_text": op5_html_text,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_decontamination": op7_decontamination,
+    "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_chat_format": """
+        WITH d AS (
+            SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), ''
+                              ORDER BY turn NULLS FIRST, role, text) AS rendered
+            FROM d GROUP BY conv_id
+        ), g AS (
+            SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, rendered FROM c GROUP BY n_turns, rendered
+        )
+        SELECT conv_id, n_turns, n_copies, rendered FROM g AS a
+        WHERE NOT EXISTS (SELECT 1 FROM g AS b WHERE b.n_turns > a.n_turns AND starts_with(b.rendered, a.rendered))
+    """,
     "op2_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
