@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from . import kv
+
+MODULES = [kv]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for module in MODULES:
+    QUERIES.update(module.QUERIES)
+    ORACLE_SQL.update(module.ORACLE_SQL)
