@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import kv
+from . import kv, measures, space, store
 
-MODULES = [kv]
+MODULES = [kv, store, space, measures]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for module in MODULES:
