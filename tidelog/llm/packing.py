@@ -8,11 +8,12 @@ padded; batches are formed from pieces of one length. Nothing is shuffled.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +23,18 @@ LENGTH = 1024
 #: The token that ends a document.
 END = 0
 #: Words whose ids a Python worker remembers, and the longest that it remembers.
-CACHE_WORDS, CACHE_CHARS = 500_000, 40
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 40
 #: Documents that a worker handles at a time.
 SLICE = 256
 
-#: Text can be cut before a single space between two other characters: no pre-token reaches over it.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-_UNEVEN = re.compile(r"\s\s|^ | \Z")
-
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit words; each distinct word is encoded once while it is remembered."""
+    """Ids of texts as little-endian 32-bit words; each distinct word is encoded once while it is remembered.
+
+    For byte-level tokenizers whose pre-tokens are runs of letters, of digits, or of other characters, each with at
+    most one space before it, and a line end between two other characters alone. Texts with other white space than
+    single spaces and line ends between words are encoded as a whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,27 +42,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.mark = {c: self._ids([c])[0] for c in ",."}
+        self.line_end = self._ids(["\n"])[0]
+        self.newline = int.from_bytes(self.line_end, "little")
+        #: Of words with a space before them, and of words that begin a line.
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
+        """Letters and a mark after them are two pre-tokens. The rest is encoded a line a word, in groups."""
+        marked = [w for w in new if w[-1] in self.mark and w[:-1].isalpha()]
+        words = list(new.difference(marked) | ({w[:-1] for w in marked} - known.keys()))
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        texts = ["\n".join([before + w for w in g]) for g in groups]
+        for group, data in zip(groups, self._ids(texts), strict=True):
+            ends = [*(4 * np.flatnonzero(np.frombuffer(data, "<u4") == self.newline)).tolist(), len(data)]
+            at = 0
+            for w, end in zip(group, ends, strict=True):
+                known[w] = data[at:end]
+                at = end + 4
+        known.update([(w, known[w[:-1]] + self.mark[w[-1]]) for w in marked])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        parts = []
-        for text in texts:
-            if _UNEVEN.search(text):
-                parts.append(_CUT.split(text))
-            else:
-                first, *rest = text.split(" ")
-                parts.append([first, *[" " + w for w in rest]])
-        known = self.known
-        new = list({w for words in parts for w in words if w not in known})
-        for w, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = array("I", found.ids).tobytes()
-        for words in parts:
-            yield b"".join([known[w] for w in words])
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del known[w]
+        if len(self.spaced) > CACHE_WORDS:
+            self.spaced.clear()
+            self.bare.clear()
+        words = [t.split() for t in texts]
+        plain = [" ".join(w) == t.replace("\n", " ") for w, t in zip(words, texts, strict=True)]
+        whole = iter(self._ids([t for t, p in zip(texts, plain, strict=True) if not p]))
+        starts, firsts = [], set()  # the words that begin a line
+        for w, t, p in zip(words, texts, plain, strict=True):
+            at = [0, *accumulate(line.count(" ") + 1 for line in t.split("\n")[:-1])] if p and w else []
+            starts.append(at)
+            firsts.update([w[k] for k in at])
+        new = set().union(*[w for w, p in zip(words, plain, strict=True) if p]) - self.spaced.keys()
+        new_first = firsts - self.bare.keys()
+        self._learn(self.spaced, new, " ")
+        self._learn(self.bare, new_first, "")
+        of = self.spaced.__getitem__
+        for w, at, p in zip(words, starts, plain, strict=True):
+            if not p:
+                yield next(whole)
+                continue
+            ids = [*map(of, w)]
+            for k in at:
+                ids[k] = (self.line_end if k else b"") + self.bare[w[k]]
+            yield b"".join(ids)
+        for known, found in ((self.spaced, new), (self.bare, new_first)):
+            for w in found:
+                if len(w) > CACHE_CHARS:
+                    del known[w]
 
 
 _encoders: dict[str, Encoder] = {}
