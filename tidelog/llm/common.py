@@ -41,3 +41,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    result = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        result.append(name)
+    return result

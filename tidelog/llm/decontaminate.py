@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 Q = 10
 #: Edits that a passage may have, as a share of the item's characters.
 EDIT_RATE = 0.08
@@ -208,5 +210,6 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item is found, with all their columns."""
-    gone = find_items(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    (of,) = fresh(docs, "_id")
+    gone = find_items(docs, benchmark).select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[of]), "left_anti")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, text_or_empty
+from .common import SPACE, fresh, materialize, text_or_empty
 
 COUNTERS = 1024
 #: Rows in a block that is counted exactly before the first cut (as a power of two).
@@ -55,10 +55,10 @@ def misra_gries(rows: DataFrame, key: str, counters: int = COUNTERS) -> DataFram
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256, repeats.
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Of rows with equal text the one with the smallest id stays. Null text counts as empty; a null id comes after all
-    others; of rows that repeat id and text one stays; repeats counts these. No rows give no rows; other columns of
+    others; of rows that repeat id and text one stays. No rows give no rows; other columns of
     docs are not looked at.
     """
     rows = materialize(
@@ -86,13 +86,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
+    own, of, sha, stays, n = fresh(docs, "_own", "_id", "_sha", "_stays", "_n")
     settled = exact_dedup(docs, id_col, text_col)
-    key = settled.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(
-        F.max("kept").alias("_stays"), F.count("*").alias("_n")
-    )
-    touched = materialize(key.filter(~F.col("_stays") | (F.col("_n") > 1)), "copies")
-    marked = docs.withColumn("_own", text_digest(text_col))
-    same = marked[id_col].eqNullSafe(touched["_id"]) & (marked["_own"] == touched["_sha"])
+    key = settled.groupBy(F.col(id_col).alias(of), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(stays), F.count("*").alias(n))
+    touched = materialize(key.filter(~F.col(stays) | (F.col(n) > 1)), "copies")
+    marked = docs.withColumn(own, text_digest(text_col))
+    same = marked[id_col].eqNullSafe(touched[of]) & (marked[own] == touched[sha])
     whole = marked.join(touched, same, "left_anti")
-    repeated = marked.join(touched.filter("_stays"), same, "left_semi").dropDuplicates([id_col, "_own"])
-    return whole.unionByName(repeated).drop("_own")
+    repeated = marked.join(touched.filter(stays), same, "left_semi").dropDuplicates([id_col, own])
+    return whole.unionByName(repeated).drop(own)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Labelled rows and pool rows that the models are fitted on, at most (about; chosen by hash).
 LABELLED, POOL = 3000, 3000
 #: Rounds, and rows that a view hands over in each.
@@ -154,13 +156,14 @@ def _views(batch: pa.RecordBatch, columns: tuple[str, ...] = ("text", "source",
     return np.stack([text_features(t) for t in text]), np.stack([meta_features(*m) for m in zip(source, lang, n_chars, strict=True)])
 
 
-def _with_inputs(docs: DataFrame) -> DataFrame:
-    """docs with the columns that the views read, made up as null where docs lacks them."""
-    kinds = {"_text": "text", "_source": "source", "_lang": "lang", "_n_chars": "n_chars"}
-    return docs.withColumns({k: (F.col(c) if c in docs.columns else F.lit(None)).cast("long" if c == "n_chars" else "string") for k, c in kinds.items()})
+INPUTS = ("_text", "_source", "_lang", "_n_chars")
 
 
-INPUTS = ("_text", "_source", "_lang", "_n_chars")
+def _with_inputs(docs: DataFrame) -> DataFrame:
+    """docs and behind it, under free names, the columns that the views read: null where docs lacks them."""
+    kinds = {"text": "string", "source": "string", "lang": "string", "n_chars": "long"}
+    inputs = [(F.col(c) if c in docs.columns else F.lit(None)).cast(kind) for c, kind in kinds.items()]
+    return docs.select("*", *[c.alias(name) for c, name in zip(inputs, fresh(docs, *INPUTS), strict=True)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
@@ -170,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_y"))
     n_known, n_docs = known.count(), docs.count()
     chosen = known.filter(pick("_id", share(n_known, labelled))).limit(2 * labelled)
-    rows = _with_inputs(docs.filter(F.col("doc_id").isNotNull()))
-    rows = rows.select(F.col("doc_id").cast("long").alias("_doc"), *INPUTS)
+    slim = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_doc"), *[c for c in ("text", "source", "lang", "n_chars") if c in docs.columns])
+    rows = _with_inputs(slim).select("_doc", *INPUTS)
     learn = rows.join(F.broadcast(chosen), rows["_doc"] == chosen["_id"]).drop("_id")
     others = rows.filter(pick("_doc", share(n_docs, pool))).limit(2 * pool).withColumn("_y", F.lit(None).cast("int"))
 
@@ -191,22 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     return CoTrained(a, b, np.array([float(r.y) for r in found[0]]), c, d)
 
 
-def score(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """docs with quality_score, text_score, meta_score."""
+def _scored(docs: DataFrame, model: CoTrained, schema, result) -> DataFrame:
+    """What `result` makes of a batch of docs and its three scores."""
     inputs = _with_inputs(docs)
-    names = [*docs.columns, "quality_score", "text_score", "meta_score"]
     held = docs.sparkSession.sparkContext.broadcast(model)
+    n = len(docs.columns)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                scores = held.value.scores(*_views(part, INPUTS))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(docs.columns))), *(pa.array(s, pa.float64()) for s in scores)], names=names)
+                own = pa.RecordBatch.from_arrays(part.columns[n:], names=list(INPUTS))
+                yield result(pa.RecordBatch.from_arrays(part.columns[:n], schema=pa.schema(list(part.schema)[:n])), held.value.scores(*_views(own, INPUTS)))
 
-    schema = docs.schema
-    for c in names[-3:]:
-        schema = schema.add(c, "double")
     return inputs.mapInArrow(run, schema)
 
 
@@ -216,11 +216,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     Null text counts as empty, null metadata as a value of its own. With under 20 labelled rows, or of one class, all
     scores are the share of good ones (1 without any). A doc_id that is labelled twice has the larger label.
     """
-    slim = docs.select(*[c for c in ("doc_id", "text", "source", "lang", "n_chars") if c in docs.columns])
-    found = score(slim, fit(slim, labels))
-    return found.select("doc_id", F.col("quality_score").alias("score"), "text_score", "meta_score", (F.col("quality_score") >= threshold).alias("kept"))
+    slim = docs.select(F.col("doc_id").cast("long"), *[c for c in ("text", "source", "lang", "n_chars") if c in docs.columns])
+
+    def rows(batch, scores):
+        columns = [batch.column(0), *(pa.array(s, pa.float64()) for s in scores), pa.array(scores[0] >= threshold)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "text_score", "meta_score", "kept"])
+
+    return _scored(slim, fit(slim, labels), "doc_id long, score double, text_score double, meta_score double, kept boolean", rows)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that classify keeps, with all their columns."""
-    return score(docs, fit(docs, labels)).filter(F.col("quality_score") >= threshold).select(*docs.columns)
+
+    def rows(batch, scores):
+        return batch.filter(pa.array(scores[0] >= threshold))
+
+    return _scored(docs, fit(docs, labels), docs.schema, rows)
