@@ -103,11 +103,11 @@ def as_of(log: DataFrame, gen: int) -> DataFrame:
     return log.filter(F.col("gen") <= gen)
 
 
-def key_range(rows: DataFrame, low: Column | None = None, high: Column | None = None, low_open: bool = False, high_open: bool = True) -> DataFrame:
-    """Rows whose key lies in a range; half-open unless said otherwise. A range that can hold no key is an error."""
-    if low is not None and high is not None:
-        empty = (low > high) | ((low == high) & F.lit(low_open or high_open))
-        rows = rows.filter(F.when(empty, F.raise_error(F.lit("invalid range"))).otherwise(F.lit(True)))
+def key_range(rows: DataFrame, low: bytes | Column | None = None, high: bytes | Column | None = None, low_open: bool = False, high_open: bool = True) -> DataFrame:
+    """Rows whose key lies in a range; half-open unless said otherwise. Given bytes that can hold no key are an error."""
+    if isinstance(low, bytes) and isinstance(high, bytes) and (low > high or low == high and (low_open or high_open)):
+        raise ValueError("invalid range")
+    low, high = (F.lit(bytearray(b)) if isinstance(b, bytes) else b for b in (low, high))
     if low is not None:
         rows = rows.filter(F.col("key") > low if low_open else F.col("key") >= low)
     if high is not None:
@@ -115,7 +115,7 @@ def key_range(rows: DataFrame, low: Column | None = None, high: Column | None =
     return rows
 
 
-def range_delete(log: DataFrame, low: Column, high: Column, seq: int, gen: int) -> DataFrame:
+def range_delete(log: DataFrame, low: bytes | Column, high: bytes | Column, seq: int, gen: int) -> DataFrame:
     """log with a delete for each key in [low, high)."""
     gone = key_range(log.select("key"), low, high).distinct()
     null = lambda t: F.lit(None).cast(t)
