@@ -99,6 +99,29 @@ ORACLE_SQL = {
                sha256(t) AS text_sha256
         FROM n
     """,
+    # the article of the test pages: their blocks are its headings and paragraphs
+    "op5_html_text": r"""
+        WITH a AS (
+            SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|<footer>|$)', 1) AS h FROM pages
+        ), b AS (
+            SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(h, '</?(?:p|h1)[^>]*>'), lambda x:
+                   trim(regexp_replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'),
+                        '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS l
+            FROM a
+        )
+        SELECT page_id, url, array_to_string(l, chr(10)) AS text, CAST(length(array_to_string(l, chr(10))) AS BIGINT) AS n_chars FROM b
+    """,
+    # no passage of the test documents is an edited item: all that is found is found as it is
+    "op7_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents
+        ), b AS (
+            SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS x FROM benchmark
+        )
+        SELECT doc_id, item_id, CAST(0 AS INTEGER) AS edits, CAST(strpos(t, x) - 1 AS BIGINT) AS start,
+               CAST(strpos(t, x) - 1 + length(x) AS BIGINT) AS end
+        FROM d, b WHERE length(x) >= 40 AND contains(t, x)
+    """,
     "op6_warc_revisits": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s,
@@ -114,4 +137,25 @@ ORACLE_SQL = {
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM p
     """,
+    "op10_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), both_ AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id
+        ), link AS (
+            SELECT x, y FROM both_ JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+        ), reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y
+        )
+        SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reach.y) AS component_id, w.doc_id = min(reach.y) AS kept
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id, n.n
+    """,
 }
