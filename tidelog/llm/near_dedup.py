@@ -5,10 +5,10 @@
    first KEYED symbols, so if these are split into distance // 2 + 1 chunks, some chunk differs in one symbol at most
    (pigeonhole). For each chunk every single error is enumerated by leaving one symbol out: a pair under the distance
    shares at least one such key. Keys are long, so chance meetings stay rare however large the corpus is.
-3. Within a key's bucket whole signatures are compared. Only a spanning forest of the close pairs leaves a bucket,
-   never all its pairs; large buckets are cut into blocks, of which each two meet.
+3. Within a key's bucket whole signatures are compared. What is connected leaves a bucket as pairs with its least id,
+   never as all pairs; large buckets are cut into blocks, of which each two meet.
 4. The components of these candidates are clusters. Within a cluster the full shingle sets are compared, again block
-   by block, and a spanning forest of the links that hold goes to the final components.
+   by block, and what the links that hold connect goes to the final components in the same way.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .graph import Union, components, in_blocks, map_groups
 
 #: Symbols of a signature, and how many of them make up the keys.
@@ -30,7 +30,7 @@ SYMBOLS, KEYED = 256, 64
 #: Standard deviations over the mean that a true pair's distance may have: a miss of about one in a million.
 MARGIN = 5.0
 #: Rows of a block of a bucket (signatures) and of a cluster (texts).
-BUCKET_BLOCK, CLUSTER_BLOCK = 512, 256
+BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 256
 #: Words whose hash a Python worker remembers.
 CACHE_WORDS = 500_000
 SLICE = 256
@@ -154,16 +154,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     first = materialize(sets.join(classes.select("id", "h1", "h2"), (sets["doc_id"] == classes["id"]) & (sets["h1"] == classes["h1"]) & (sets["h2"] == classes["h2"]), "left_semi").select(F.col("doc_id").alias("id"), "keyed", "sig").dropDuplicates(["id", "keyed", "sig"]), "first")
 
     keys = first.select("id", F.explode(chunk_keys(keyed_symbols)).alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("all")).filter("n > 1")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.bit_xor(F.xxhash64("id")).alias("all")).filter("n > 1")
     # a pair of copies meets in many buckets of the same members: one of them is enough
-    buckets = materialize(buckets.groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    buckets = materialize(buckets.groupBy("n", "lo", "all").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     members = keys.join(buckets, "key").join(first.select("id", "sig"), "id")
 
     def close(columns):
         ids, sig, own, i, j = _block(columns)
-        sets = Union(len(ids))
-        for _, x, y in _close_pairs(sig, own, i, j, all_symbols):
-            if sets.join(x, y):
+        label = np.arange(len(ids))
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        for k, x in enumerate(left):
+            others = right[k + 1 :] if i == j else right
+            others = others[label[others] != label[x]]  # what is connected already needs no look
+            near = others[(sig[others] != sig[x]).sum(axis=1) <= all_symbols]
+            first = near[np.unique(label[near], return_index=True)[1]]
+            label[np.isin(label, label[first])] = label[x]
+            for y in first:
                 yield ids[x], ids[y]
 
     candidates = map_groups(in_blocks(members, "key", "id", BUCKET_BLOCK), ["key", "i", "j"], close)
@@ -211,5 +218,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
-    gone = near_duplicates(docs, words, percent).filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    (of,) = fresh(docs, "_id")
+    gone = near_duplicates(docs, words, percent).filter("NOT kept").select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[of], "left_anti")
