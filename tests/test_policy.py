@@ -36,7 +36,7 @@ def test_td_learning(spark):
 
     def phi(s):
         large = [1 / (1 + x * math.exp(-y * v)) for x, y, v in zip(a, b, s, strict=True)]
-        w = [u * v * x for u in (large[0], 1 - large[0]) for v in (large[1], 1 - large[1]) for x in (large[2], 1 - large[2])]
+        w = [u * v * x for u in (1 - large[0], large[0]) for v in (1 - large[1], large[1]) for x in (1 - large[2], large[2])]
         return np.array(w) / sum(w)
 
     own, z, seen = np.array(p), np.zeros(8), [np.zeros(8)]

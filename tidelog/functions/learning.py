@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 from pyspark.sql import Column
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 ALPHA = 0.8
 #: Decay of rewards.
 BETA = 0.05
+# Slopes and offsets of the memberships of the three parts of a state.
+SLOPES = [7.33 / 0.3, 7.33 / 1500, 7.33 / 1]
+OFFSETS = [math.exp(SLOPES[0] * 0.3), math.exp(SLOPES[1] * 1750), math.exp(SLOPES[2] * 0.5)]
 #: State of a tier without objects: mean temperature, mean temperature by size, response time.
 EMPTY = (0.0, 100000.0, 0.0)
 
@@ -21,8 +25,8 @@ def logistic(s: Column, a: float, b: float) -> Column:
 
 
 def fuzzy_weights(state: list[Column], a: list[float], b: list[float]) -> list[Column]:
-    """The share of each of the eight rules: every state part as large, then as small."""
-    parts = [(logistic(s, x, y), 1 - logistic(s, x, y)) for s, x, y in zip(state, a, b, strict=True)]
+    """The share of each of the eight rules: every state part as small, then as large, the first one outermost."""
+    parts = [(1 - logistic(s, x, y), logistic(s, x, y)) for s, x, y in zip(state, a, b, strict=True)]
     weights = [x * y * z for x, y, z in product(*parts)]
     total = sum(weights[1:], weights[0])
     return [w / total for w in weights]

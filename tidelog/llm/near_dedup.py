@@ -134,6 +134,16 @@ def _close_pairs(sig: np.ndarray, own: np.ndarray, i: int, j: int, most: int) ->
             yield int(far), int(x), int(y)
 
 
+def _stars(ids: list[int], label: list[int]) -> Iterator[tuple[int, int]]:
+    """Rows with equal labels as pairs with the least id among them: other buckets of the same rows give the same pairs."""
+    least: dict[int, int] = {}
+    for i, k in zip(ids, label, strict=True):
+        least[k] = min(i, least.get(k, i))
+    for i, k in zip(ids, label, strict=True):
+        if i != least[k]:
+            yield least[k], i
+
+
 def _block(columns: dict) -> tuple[list[int], np.ndarray, np.ndarray, int, int]:
     sig = np.frombuffer(b"".join(columns["sig"].to_pylist()), np.uint8).reshape(-1, SYMBOLS)
     return columns["id"].to_pylist(), sig, np.array(columns["own"]), columns["i"][0].as_py(), columns["j"][0].as_py()
@@ -168,10 +178,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             others = right[k + 1 :] if i == j else right
             others = others[label[others] != label[x]]  # what is connected already needs no look
             near = others[(sig[others] != sig[x]).sum(axis=1) <= all_symbols]
-            first = near[np.unique(label[near], return_index=True)[1]]
-            label[np.isin(label, label[first])] = label[x]
-            for y in first:
-                yield ids[x], ids[y]
+            if len(near):
+                label[np.isin(label, label[near])] = label[x]
+        yield from _stars(ids, label.tolist())
 
     candidates = map_groups(in_blocks(members, "key", "id", BUCKET_BLOCK), ["key", "i", "j"], close)
     clusters = components(materialize(candidates.distinct(), "candidates"))
@@ -201,7 +210,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             both = len(np.intersect1d(a, b, assume_unique=True))
             if 100 * both >= percent * (len(a) + len(b) - both):
                 sets.join(x, y)
-                yield ids[x], ids[y]
+        yield from _stars(ids, [sets.find(x) for x in range(len(ids))])
 
     links = map_groups(in_blocks(grouped, "comp", "id", CLUSTER_BLOCK), ["comp", "i", "j"], linked)
     found = components(materialize(links.distinct(), "links"))

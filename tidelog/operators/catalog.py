@@ -33,11 +33,11 @@ def snapshots_with_neighbours(snapshots: DataFrame) -> DataFrame:
 def freed_by_delete(snapshots: DataFrame, deadlist: DataFrame) -> DataFrame:
     """(ds_id, gen, blocks): dead blocks that go when a snapshot is deleted.
 
-    They died after the snapshot and not after the next one, and were born after the one before it.
+    They died after the snapshot and not after the next one, and were born after the one before it (any, if it is the first).
     """
     near = snapshots_with_neighbours(snapshots).select("ds_id", "gen", "prev_gen", "next_gen")
     inside = (F.col("died_gen") > F.col("gen")) & (F.col("died_gen") <= F.coalesce("next_gen", F.lit(2**62))) & (F.col("birth") > F.coalesce("prev_gen", F.lit(-1)))
-    found = deadlist.join(near, "ds_id").filter(inside & (F.col("birth") <= F.col("gen")))
+    found = deadlist.join(near, "ds_id").filter(inside)
     return found.groupBy("ds_id", "gen").agg(F.sum("size").alias("blocks"))
 
 

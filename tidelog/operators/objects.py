@@ -12,9 +12,12 @@ def fold_info(messages: DataFrame) -> DataFrame:
     """One row per present object_key: object_id, size, mtime, pref, access_pattern of its metadata messages.
 
     messages: object_key, seq, op and the fields. R replaces all fields, D deletes, P patches: of patches since the
-    last R or D the newest non-null object_id, pref and access_pattern win, and size and mtime are the largest.
+    last R the newest non-null object_id, pref and access_pattern win, and size and mtime are the largest. Patches after
+    a D find no object and do nothing; without any R or D the patches stand for themselves.
     """
-    s0 = messages.groupBy(F.col("object_key").alias("_key")).agg(F.max(F.when(F.col("op").isin("R", "D"), F.col("seq"))).alias("s0"))
+    whole = F.when(F.col("op").isin("R", "D"), F.col("seq"))
+    s0 = messages.groupBy(F.col("object_key").alias("_key")).agg(F.max(whole).alias("s0"), F.max_by("op", whole).alias("last"))
+    s0 = s0.filter(F.coalesce("last", F.lit("R")) != "D").drop("last")
     same = messages["object_key"].eqNullSafe(s0["_key"])
     rows = messages.join(s0, same).filter((F.col("op") != "D") & (F.col("seq") >= F.coalesce("s0", F.lit(-(2**63)))))
     newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)

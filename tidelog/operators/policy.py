@@ -101,7 +101,7 @@ def td_learn(steps: DataFrame, a: list[float], b: list[float], p: list[float], l
 
     def weights(state):
         large = [1 / (1 + x * np.exp(-y * s)) for x, y, s in zip(a, b, state, strict=True)]
-        w = np.einsum("i,j,k->ijk", *[np.array([v, 1 - v]) for v in large]).ravel()
+        w = np.einsum("i,j,k->ijk", *[np.array([1 - v, v]) for v in large]).ravel()
         return w / w.sum()
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import kv, measures, space, store
+from . import kv, measures, more, space, store
 
-MODULES = [kv, store, space, measures]
+MODULES = [kv, store, space, measures, more]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for module in MODULES:

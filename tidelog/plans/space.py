@@ -286,7 +286,7 @@ def fn_logistic(spark, d):
 named(lambda spark, d: fn_logistic(spark, d).select("object_id", "temp"), "fn_temp_update", f"SELECT object_id, temp FROM ({ORACLE_SQL['fn_logistic']})")
 COST_A, COST_B, COST_P = [1.0, 2.0, 3.0], [0.5, 0.01, 0.0001], [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 _l = [f"(1 / (1 + {a} * exp(-{b} * {s})))" for a, b, s in zip(COST_A, COST_B, ("s1", "s2", "s3"))]
-_terms = [f"{COST_P[4 * x + 2 * y + z]} * " + " * ".join(v if not k else f"(1 - {v})" for v, k in zip(_l, (x, y, z))) for x in (0, 1) for y in (0, 1) for z in (0, 1)]
+_terms = [f"{COST_P[4 * x + 2 * y + z]} * " + " * ".join(v if k else f"(1 - {v})" for v, k in zip(_l, (x, y, z))) for x in (0, 1) for y in (0, 1) for z in (0, 1)]
 
 
 @query(f"SELECT tier, round({' + '.join(_terms)}, 6) AS cost FROM ({ORACLE_SQL['agg_tier_state']})")

@@ -290,7 +290,7 @@ def win_next_snapshot(spark, d):
     return K.snapshots_with_neighbours(snapshots(spark, d))
 
 
-@query(f"WITH {SNAPS}, {DEAD}, n AS (SELECT ds_id, gen, lag(gen) OVER w AS p, lead(gen) OVER w AS x FROM s WINDOW w AS (PARTITION BY ds_id ORDER BY gen)) SELECT n.ds_id, gen, CAST(sum(size) AS BIGINT) AS blocks FROM n JOIN dead AS d ON d.ds_id = n.ds_id AND died_gen > gen AND (x IS NULL OR died_gen <= x) AND (p IS NULL OR birth > p) AND birth <= gen AND birth > -1 GROUP BY n.ds_id, gen")
+@query(f"WITH {SNAPS}, {DEAD}, n AS (SELECT ds_id, gen, lag(gen) OVER w AS p, lead(gen) OVER w AS x FROM s WINDOW w AS (PARTITION BY ds_id ORDER BY gen)) SELECT n.ds_id, gen, CAST(sum(size) AS BIGINT) AS blocks FROM n JOIN dead AS d ON d.ds_id = n.ds_id AND died_gen > gen AND (x IS NULL OR died_gen <= x) AND (p IS NULL OR birth > p) AND birth > -1 GROUP BY n.ds_id, gen")
 def join_snapshot_deadlist(spark, d):
     return K.freed_by_delete(snapshots(spark, d), deadlist(spark, d).filter("birth > -1"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import struct
 from collections.abc import Iterator
 
@@ -25,6 +26,12 @@ def header_size(data: bytes) -> int:
     return at
 
 
+def _little(c: Column, width: int) -> Column:
+    """A number as so many little-endian bytes."""
+    digits = F.lpad(F.hex(c.cast("long")), max(16, 2 * width), "0")
+    return F.unhex(F.concat(*[F.substring(digits, max(16, 2 * width) - 2 * i - 1, 2) for i in range(width)]))
+
+
 def records(data: bytes) -> Iterator[tuple]:
     """Time (the record's place), operation, offset, blocks and cycles of each whole record."""
     start = header_size(data) if data else 0
@@ -39,6 +46,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
+                if name.endswith(".txt"):
+                    data = b"\0" + b"".join(base64.b64decode(line) for line in data.split())
                 rows = [(name, *r) for r in records(data)]
                 for at in range(0, max(1, len(rows)), 50_000):
                     yield pd.DataFrame(rows[at : at + 50_000], columns=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -46,6 +55,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, SCHEMA)
 
 
+def write(log: DataFrame, path: str) -> None:
+    """Writes op, disk_offset and num_blocks as logs with an empty header, one file a partition.
+
+    Each log goes out as lines of base64 that `read` takes too: Spark has no sink for bare bytes.
+    """
+    record = F.concat(_little(F.col("op"), 1), _little(F.col("disk_offset"), 8), _little(F.col("num_blocks"), 4), _little(F.lit(0), 16))
+    log.select(F.base64(record).alias("value")).write.text(path)
+
+
 def placed(log: DataFrame) -> DataFrame:
     """log with tier, disk, segment and begin (the place in the segment) of each record."""
     o: Column = F.col("disk_offset")
