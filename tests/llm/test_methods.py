@@ -56,7 +56,7 @@ def test_quality_on_held_out_rows(spark):
     learn, rest = labels.filter("doc_id % 3 > 0"), labels.filter("doc_id % 3 = 0")
     model = quality.fit(docs, learn, 2000, 2000)
     assert model.constant is None
-    rows = rest.join(quality.classify(docs.join(rest.select("doc_id"), "doc_id", "left_semi"), learn), "doc_id").collect()
+    rows = rest.join(quality.classify(docs, learn), "doc_id").collect()
     good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
     assert sum(r.kept for r in good) >= 0.99 * len(good)
     assert sum(not r.kept for r in bad) >= 0.9 * len(bad)

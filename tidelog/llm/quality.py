@@ -21,8 +21,9 @@ from .common import fresh
 
 #: Labelled rows and pool rows that the models are fitted on, at most (about; chosen by hash).
 LABELLED, POOL = 3000, 3000
-#: Rounds, and rows that a view hands over in each.
-ROUNDS, HANDED = 3, 150
+#: Rounds, rows that a view hands over in each (as a share of the labelled ones), and the calibrated logit that it
+#: must be surer than: one wrong label in twenty.
+ROUNDS, HANDED, SURE = 3, 0.06, 3.0
 #: Columns of hashed words, and of hashed sources and languages.
 WORD_COLUMNS, META_COLUMNS = 1024, 128
 #: Documents whose score is below are rejected.
@@ -95,12 +96,21 @@ class Logistic:
         w = np.zeros(z.shape[1])
         ridge = np.full(z.shape[1], self.penalty * max(1.0, len(x) / 1000))
         ridge[-1] = 1e-3
+
+        def loss(w: np.ndarray) -> float:
+            own = z @ w
+            return float((weight * (np.logaddexp(0, own) - y * own)).sum() + (ridge * w * w).sum() / 2)
+
+        now = loss(w)
         for _ in range(12):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             h = weight * np.maximum(p * (1 - p), 1e-4)
             step = np.linalg.solve((z * h[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (y - p)) - ridge * w)
+            while loss(w + step) > now and np.abs(step).max() > 1e-4:
+                step /= 2
             w += step
-            if np.abs(step).max() < 1e-4:
+            now = loss(w)
+            if np.abs(step).max() < 1e-3:
                 break
         self.w = w
         return self
@@ -117,7 +127,9 @@ class CoTrained:
         if len(y) < 20 or len(set(y.tolist())) < 2:
             self.constant = float(y.mean()) if len(y) else 1.0
             return
-        held = np.arange(len(y)) % 5 == 0
+        held = np.zeros(len(y), bool)
+        for c in (0, 1):  # every fifth of either class
+            held[np.flatnonzero(y == c)[::5]] = True
         views = [(text, pool_text, Logistic(3.0)), (meta, pool_meta, Logistic(3.0))]
         own = [(v[0][~held], y[~held]) for v in views]
         free = np.ones(len(pool_text), bool)
@@ -128,11 +140,12 @@ class CoTrained:
             if turn == ROUNDS:
                 break
             for k, (_, pool, model) in enumerate(views):
-                logit = model.logit(pool)
-                # only what a view is sure of, and both classes in their proportion
-                good, bad = max(1, round(HANDED * share)), max(1, round(HANDED * (1 - share)))
+                # only what a view is sure of by its calibration, and both classes in their proportion
+                handed = HANDED * len(y)
+                good, bad = max(1, round(handed * share)), max(1, round(handed * (1 - share)))
+                logit = Logistic(1.0).fit(model.logit(views[k][0][held])[:, None], y[held]).logit(model.logit(pool)[:, None])
                 order = np.argsort(-logit, kind="stable")
-                pick = [i for i in order if free[i] and logit[i] > 2][:good] + [i for i in order[::-1] if free[i] and logit[i] < -2][:bad]
+                pick = [i for i in order if free[i] and logit[i] > SURE][:good] + [i for i in order[::-1] if free[i] and logit[i] < -SURE][:bad]
                 free[pick] = False
                 other = 1 - k
                 x, labels = own[other]
