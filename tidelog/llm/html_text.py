@@ -143,34 +143,39 @@ def first_pass(b: Block) -> str:
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
-    """Whether each block is text. Open and nearly good ones take after the nearest good or bad ones.
+    """Whether each block is text. Nearly good, then open ones take after the nearest good or bad ones.
 
     Inside an article only the article's blocks count, and with none decided, or undecided between two, a block of it
-    is text. Elsewhere a block between two labels is text if it was nearly good.
+    is text. Elsewhere a nearly good block is text unless both its neighbours are bad, and an open one if both are
+    good. What stands beside the article by its markup is no neighbour there: it says nothing of the text around it.
     """
-    n = len(labels)
-    near: list[list[str | None]] = [[None] * n, [None] * n]
-    for order, out in ((range(n), near[0]), (range(n - 1, -1, -1), near[1])):
-        last: dict[bool, str] = {}
-        for i in order:
-            inside = found[i].article
-            out[i] = last.get(inside)
-            if labels[i] in (GOOD, BAD):
-                last[inside] = last[False] = labels[i]
-            if not inside:
-                last.pop(True, None)  # another article is another context
-    before, after = near
-    text = []
-    for i, label in enumerate(labels):
-        if label in (GOOD, BAD):
-            text.append(label == GOOD)
-        elif before[i] == after[i] and before[i]:
-            text.append(before[i] == GOOD)
-        elif found[i].article:
-            text.append(GOOD in (before[i], after[i]) or not (before[i] or after[i]))
-        else:
-            text.append(label == NEAR and GOOD in (before[i], after[i]))
-    return text
+    labels = list(labels)
+    for kind in (NEAR, OPEN):
+        before, after = _nearest(found, labels, range(len(labels))), _nearest(found, labels, range(len(labels) - 1, -1, -1))
+        for i in [i for i, label in enumerate(labels) if label == kind]:
+            sides = {before[i], after[i]} - {None}
+            if found[i].article:
+                good = GOOD in sides or not sides
+            elif kind == NEAR:
+                good = sides != {BAD}
+            else:
+                good = before[i] == after[i] == GOOD
+            labels[i] = GOOD if good else BAD
+    return [label == GOOD for label in labels]
+
+
+def _nearest(found: list[Block], labels: list[str], order: range) -> list[str | None]:
+    """The last decided label before each block in this order, as far as it counts for the block."""
+    out: list[str | None] = [None] * len(labels)
+    last: dict[bool, str] = {}
+    for i in order:
+        inside = found[i].article
+        out[i] = last.get(inside)
+        if labels[i] in (GOOD, BAD) and (inside or not found[i].beside):
+            last[inside] = last[False] = labels[i]
+        if not inside:
+            last.pop(True, None)  # another article is another context
+    return out
 
 
 def main_text(page: str | None) -> str:
