@@ -35,10 +35,15 @@ def freed_by_delete(snapshots: DataFrame, deadlist: DataFrame) -> DataFrame:
 
     They died after the snapshot and not after the next one, and were born after the one before it (any, if it is the first).
     """
-    near = snapshots_with_neighbours(snapshots).select("ds_id", "gen", "prev_gen", "next_gen")
-    inside = (F.col("died_gen") > F.col("gen")) & (F.col("died_gen") <= F.coalesce("next_gen", F.lit(2**62))) & (F.col("birth") > F.coalesce("prev_gen", F.lit(-1)))
-    found = deadlist.join(near, "ds_id").filter(inside)
-    return found.groupBy("ds_id", "gen").agg(F.sum("size").alias("blocks"))
+    near = snapshots_with_neighbours(snapshots).select("ds_id", "gen", "prev_gen")
+    mark = F.struct("gen", "prev_gen").alias("mark")
+    marks = near.select("ds_id", F.col("gen").alias("at"), F.lit(True).alias("is_mark"), mark)
+    dead = deadlist.select("ds_id", F.col("died_gen").alias("at"), F.lit(False).alias("is_mark"), "birth", "size")
+    # lined up by generation, a block after the last snapshot before its death: no block meets more than that one
+    line = Window.partitionBy("ds_id").orderBy("at", "is_mark").rowsBetween(Window.unboundedPreceding, 0)
+    rows = marks.unionByName(dead, allowMissingColumns=True).withColumn("mark", F.last("mark", ignorenulls=True).over(line))
+    found = rows.filter(~F.col("is_mark") & F.col("mark").isNotNull() & (F.col("birth") > F.coalesce("mark.prev_gen", F.lit(-1))))
+    return found.groupBy("ds_id", F.col("mark.gen").alias("gen")).agg(F.sum("size").alias("blocks"))
 
 
 def copy_on_write(dead: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -97,9 +97,9 @@ def win_latest_read(spark, d):
     return L.ranked(e, "seq", "part").filter("rank <= 3")
 
 
-@query("WITH p AS (SELECT DISTINCT l_suppkey % 10 AS part, l_shipdate AS t FROM lineitem WHERE l_orderkey % 97 = 0), s AS (SELECT o_custkey % 10 AS part, o_orderdate AS t, o_orderkey AS id FROM orders), m AS (SELECT part, max(t) AS last FROM p GROUP BY part) SELECT s.part, s.t, s.id, p.t AS start FROM s ASOF JOIN p ON p.part = s.part AND p.t <= s.t JOIN m ON m.part = s.part WHERE p.t < m.last AND s.t < m.last")
+@query("WITH p AS (SELECT DISTINCT l_suppkey % 10 AS part, l_shipdate AS t FROM lineitem), s AS (SELECT o_custkey % 10 AS part, o_orderdate AS t, o_orderkey AS id FROM orders), m AS (SELECT part, max(t) AS last FROM p GROUP BY part) SELECT s.part, s.t, s.id, p.t AS start FROM s ASOF JOIN p ON p.part = s.part AND p.t <= s.t JOIN m ON m.part = s.part WHERE p.t < m.last AND s.t < m.last")
 def join_interval_json(spark, d):
-    p = table(spark, d, "lineitem").filter("l_orderkey % 97 = 0").select((F.col("l_suppkey") % 10).alias("part"), F.col("l_shipdate").alias("t"))
+    p = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("part"), F.col("l_shipdate").alias("t"))
     s = table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("part"), F.col("o_orderdate").alias("t"), F.col("o_orderkey").alias("id"))
     return T.interval_merge(p, s, "t", "part").select("part", "t", "id", "start")
 

@@ -159,7 +159,7 @@ def snk_policy_state(spark, d):
     return files.read_jsonl(spark, path, "tier int, n bigint, blocks bigint")
 
 
-RECORDS = "SELECT event_id % 2 AS op, (user_id % 2) << 62 | (user_id % 1024) << 52 | event_id * 17 AS off, event_id % 9 + 1 AS n FROM events WHERE event_id < 5000"
+RECORDS = "SELECT event_id % 2 AS op, ((user_id % 2) << 62) + ((user_id % 1024) << 52) + event_id * 17 AS off, event_id % 9 + 1 AS n FROM events"
 
 
 @query(f"SELECT CAST(off >> 62 AS BIGINT) AS tier, CAST((off >> 52) & 1023 AS BIGINT) AS disk, count(*) AS n, CAST(sum(n) AS BIGINT) AS blocks, CAST(sum(off & 262143) AS BIGINT) AS places FROM ({RECORDS}) GROUP BY 1, 2")
@@ -167,7 +167,7 @@ def src_alloclog(spark, d):
     """A binary log written from events, then read back."""
     from ..functions import storage as S
 
-    rows = table(spark, d, "events").filter("event_id < 5000")
+    rows = table(spark, d, "events")
     off = S.pack_offset(F.col("user_id") % 2, F.col("user_id") % 1024, F.col("event_id") * 17)
     path = folder(spark)
     alloclog.write(rows.select((F.col("event_id") % 2).alias("op"), off.alias("disk_offset"), (F.col("event_id") % 9 + 1).alias("num_blocks")), path)

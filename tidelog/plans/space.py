@@ -105,10 +105,10 @@ def win_first_fit(spark, d):
 named(lambda spark, d: win_first_fit(spark, d), "alloc_first_fit", ORACLE_SQL["win_first_fit"])
 
 
-@query(f"{A_}, pts AS (SELECT tier, time, n AS frag FROM alloc WHERE time % 5 = 0), ask AS (SELECT tier, time FROM alloc WHERE time % 7 = 0) SELECT a.tier, a.time, p.frag FROM ask AS a ASOF LEFT JOIN pts AS p ON p.tier = a.tier AND p.time <= a.time")
+@query(f"{A_}, pts AS (SELECT tier, time, n AS frag FROM alloc WHERE op = 1), ask AS (SELECT tier, time FROM alloc) SELECT a.tier, a.time, p.frag FROM ask AS a ASOF LEFT JOIN pts AS p ON p.tier = a.tier AND p.time <= a.time")
 def win_asof_frag(spark, d):
     log = allocation_log(spark, d)
-    points, ask = log.filter("time % 5 = 0").select("tier", "time", F.col("n").alias("frag")), log.filter("time % 7 = 0").select("tier", "time")
+    points, ask = log.filter("op = 1").select("tier", "time", F.col("n").alias("frag")), log.select("tier", "time")
     return A.last_known(points, ask, "time", "frag", "tier")
 
 

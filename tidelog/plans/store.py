@@ -163,13 +163,14 @@ def obj_seek(spark, d):
     return objects(spark, d).select("object_id", O.seek(at, size, "end", F.lit(10)).alias("from_end"), O.seek(at, size, "current", by).alias("from_current"), O.seek(at, size, "start", by - 50).alias("from_start"))
 
 
-@query(f"WITH {WRITES} SELECT object_id, CAST(coalesce(sum(length(data)) OVER (ORDER BY object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM w WHERE object_id < 100")
+@query(f"WITH {WRITES} SELECT object_id, object_id % 64 AS cursor, CAST(coalesce(sum(length(data)) OVER (PARTITION BY object_id % 64 ORDER BY object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM w")
 def obj_cursor(spark, d):
-    """Where the cursor of one object stands before each of a run of writes."""
+    """Where each of 64 cursors stands before each of its writes."""
     from pyspark.sql import Window
 
-    w = Window.orderBy("object_id").rowsBetween(Window.unboundedPreceding, -1)  # one object's writes
-    return writes(spark, d).filter("object_id < 100").select("object_id", F.coalesce(F.sum(F.length("data")).over(w), F.lit(0)).alias("position"))
+    w = Window.partitionBy("cursor").orderBy("object_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = writes(spark, d).withColumn("cursor", F.col("object_id") % 64)
+    return rows.select("object_id", "cursor", F.coalesce(F.sum(F.length("data")).over(w), F.lit(0)).alias("position"))
 
 
 @query("SELECT printf('doc-%08d', doc_id) AS object_key, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic FROM labels")
@@ -266,11 +267,11 @@ def db_create_dataset(spark, d):
     return K.create_dataset(datasets(spark, d).withColumn("id", F.col("id").cast("long")), asked(spark, d))
 
 
-SNAPS = "s AS (SELECT o_custkey % 20 AS ds_id, o_orderkey AS gen, 's' || o_orderkey AS name FROM orders WHERE o_orderkey % 50 = 0)"
+SNAPS = "s AS (SELECT o_custkey % 20 AS ds_id, o_orderkey AS gen, 's' || o_orderkey AS name FROM orders)"
 
 
 def snapshots(spark, d):
-    return table(spark, d, "orders").filter("o_orderkey % 50 = 0").select((F.col("o_custkey") % 20).alias("ds_id"), F.col("o_orderkey").alias("gen"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("name"))
+    return table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("ds_id"), F.col("o_orderkey").alias("gen"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("name"))
 
 
 DEAD = "dead AS (SELECT l_suppkey % 20 AS ds_id, l_orderkey AS died_gen, l_orderkey - l_partkey % 500 AS birth, CAST(l_quantity AS BIGINT) AS size FROM lineitem)"
@@ -307,9 +308,9 @@ def snap_cow(spark, d):
 named(lambda spark, d: K.copy_on_write(deadlist(spark, d), snapshots(spark, d).filter("gen < 30000")).filter("fate = 'removed'").groupBy("ds_id").agg(F.count("*").alias("n")), "flt_ptr_generation", f"WITH {SNAPS}, {DEAD}, l AS (SELECT ds_id, max(gen) AS g FROM s WHERE gen < 30000 GROUP BY ds_id) SELECT d.ds_id, count(*) AS n FROM dead AS d LEFT JOIN l ON l.ds_id = d.ds_id WHERE coalesce(g, -1) < birth GROUP BY d.ds_id")
 
 
-@query(f"WITH {SNAPS}, new AS (SELECT 's' || o_orderkey AS name, o_custkey % 20 AS ds_id FROM orders WHERE o_orderkey % 75 = 0) SELECT new.ds_id, new.name, CASE WHEN s.name IS NULL THEN 'created' ELSE 'already exists' END AS status FROM new LEFT JOIN s ON s.ds_id = new.ds_id AND s.name = new.name")
+@query(f"WITH {SNAPS}, new AS (SELECT 's' || o_orderkey AS name, (o_custkey + o_orderkey % 2) % 20 AS ds_id FROM orders) SELECT new.ds_id, new.name, CASE WHEN s.name IS NULL THEN 'created' ELSE 'already exists' END AS status FROM new LEFT JOIN s ON s.ds_id = new.ds_id AND s.name = new.name")
 def snap_create(spark, d):
-    new = table(spark, d, "orders").filter("o_orderkey % 75 = 0").select((F.col("o_custkey") % 20).alias("ds_id"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("name"))
+    new = table(spark, d, "orders").select(((F.col("o_custkey") + F.col("o_orderkey") % 2) % 20).alias("ds_id"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("name"))
     old = snapshots(spark, d).select("ds_id", "name", F.lit(True).alias("there"))
     return new.join(old, ["ds_id", "name"], "left").select("ds_id", "name", F.when(F.col("there"), "already exists").otherwise("created").alias("status"))
 
