@@ -85,13 +85,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    own, of, sha, stays, n = fresh(docs, "_own", "_id", "_sha", "_stays", "_n")
+    """The rows of docs that exact_dedup keeps, with all their columns; of rows that repeat id and text one.
+
+    Texts are shuffled once, by a key of id and digest: the join with what goes and the look for repeats share it.
+    """
+    (key,) = fresh(docs, "_key")
+    of = lambda i, sha: F.unhex(F.sha2(F.concat(i.isNull().cast("string"), F.coalesce(i.cast("string"), F.lit("")), sha), 256))
     settled = exact_dedup(docs, id_col, text_col)
-    key = settled.groupBy(F.col(id_col).alias(of), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(stays), F.count("*").alias(n))
-    touched = materialize(key.filter(~F.col(stays) | (F.col(n) > 1)), "copies")
-    marked = docs.withColumn(own, text_digest(text_col))
-    same = marked[id_col].eqNullSafe(touched[of]) & (marked[own] == touched[sha])
-    whole = marked.join(touched, same, "left_anti")
-    repeated = marked.join(touched.filter(stays), same, "left_semi").dropDuplicates([id_col, own])
-    return whole.unionByName(repeated).drop(own)
+    keys = settled.groupBy(of(F.col(id_col), F.col("text_sha256")).alias(key)).agg(F.max("kept").alias("stays"))
+    gone = materialize(keys.filter("NOT stays").select(key), "copies")
+    left = docs.withColumn(key, of(F.col(id_col), text_digest(text_col))).join(gone, key, "left_anti")
+    return left.dropDuplicates([key]).drop(key)
