@@ -32,7 +32,7 @@ MARGIN = 5.0
 #: Rows of a block of a bucket (signatures) and of a cluster (texts).
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 256
 #: Words whose hash a Python worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 SLICE = 256
 
 _FACTORS = np.random.default_rng(20240101).integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)

@@ -23,7 +23,7 @@ LENGTH = 1024
 #: The token that ends a document.
 END = 0
 #: Words whose ids a Python worker remembers, and the longest that it remembers.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 40
+CACHE_WORDS, CACHE_CHARS = 100_000, 40
 #: Documents that a worker handles at a time.
 SLICE = 256
 

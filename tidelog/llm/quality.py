@@ -29,7 +29,7 @@ WORD_COLUMNS, META_COLUMNS = 1024, 128
 #: Documents whose score is below are rejected.
 THRESHOLD = 0.5
 SLICE = 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 _MARKS = re.compile(r"[^\w\s.,;:'’-]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
