@@ -12,6 +12,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import accumulate
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ LENGTH = 1024
 #: The token that ends a document.
 END = 0
 #: Words whose ids a Python worker remembers, and the longest that it remembers.
-CACHE_WORDS, CACHE_CHARS = 100_000, 40
+CACHE_WORDS, CACHE_CHARS = 250_000, 40
 #: Documents that a worker handles at a time.
 SLICE = 256
 
@@ -42,34 +43,54 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.mark = {c: self._ids([c])[0] for c in ",."}
+        #: Whether a token begins with a space: in a text of words it begins a word.
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == "\u0120"]] = True
         self.line_end = self._ids(["\n"])[0]
         self.newline = int.from_bytes(self.line_end, "little")
         #: Of words with a space before them, and of words that begin a line.
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        #: Of the marks that end words.
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], new: set[str], before: str) -> None:
-        """Letters and a mark after them are two pre-tokens. The rest is encoded a line a word, in groups."""
-        marked = [w for w in new if w[-1] in self.mark and w[:-1].isalpha()]
-        words = list(new.difference(marked) | ({w[:-1] for w in marked} - known.keys()))
-        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
-        texts = ["\n".join([before + w for w in g]) for g in groups]
+    def _learn(self, known: dict[str, bytes], new: set[str], spaced: bool) -> list[str]:
+        """Letters and the marks after them are two pre-tokens. The rest is encoded in groups of words, each a word
+        with its space, or a line. Returns what it has put into known."""
+        words, marked = set(), []
+        for w in new:
+            stem = w.rstrip(punctuation)
+            if len(stem) < len(w) and stem.isalpha():
+                marked.append((w, stem, w[len(stem) :]))
+                if stem not in known:
+                    words.add(stem)
+            else:
+                words.add(w)
+        tails = list({tail for _, _, tail in marked} - self.tails.keys())
+        self.tails.update(zip(tails, self._ids(tails), strict=True))
+        words = list(words)
+        groups = [words[i : i + 128] for i in range(0, len(words), 128)]
+        texts = [" " + " ".join(g) if spaced else "\n".join(g) for g in groups]
         for group, data in zip(groups, self._ids(texts), strict=True):
-            ends = [*(4 * np.flatnonzero(np.frombuffer(data, "<u4") == self.newline)).tolist(), len(data)]
-            at = 0
-            for w, end in zip(group, ends, strict=True):
-                known[w] = data[at:end]
-                at = end + 4
-        known.update([(w, known[w[:-1]] + self.mark[w[-1]]) for w in marked])
+            ids = np.frombuffer(data, "<u4")
+            if spaced:
+                starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+                ends = [*starts[1:], len(data)]
+            else:
+                ends = [*(4 * np.flatnonzero(ids == self.newline)).tolist(), len(data)]
+                starts = [0, *[x + 4 for x in ends[:-1]]]
+            known.update([(w, data[i:j]) for w, i, j in zip(group, starts, ends, strict=True)])
+        known.update([(w, known[stem] + self.tails[tail]) for w, stem, tail in marked])
+        return [*words, *[w for w, _, _ in marked]]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.spaced) > CACHE_WORDS:
             self.spaced.clear()
             self.bare.clear()
+            self.tails.clear()
         words = [t.split() for t in texts]
         plain = [" ".join(w) == t.replace("\n", " ") for w, t in zip(words, texts, strict=True)]
         whole = iter(self._ids([t for t, p in zip(texts, plain, strict=True) if not p]))
@@ -80,8 +101,7 @@ class Encoder:
             firsts.update([w[k] for k in at])
         new = set().union(*[w for w, p in zip(words, plain, strict=True) if p]) - self.spaced.keys()
         new_first = firsts - self.bare.keys()
-        self._learn(self.spaced, new, " ")
-        self._learn(self.bare, new_first, "")
+        learned = [(self.spaced, self._learn(self.spaced, new, True)), (self.bare, self._learn(self.bare, new_first, False))]
         of = self.spaced.__getitem__
         for w, at, p in zip(words, starts, plain, strict=True):
             if not p:
@@ -91,7 +111,7 @@ class Encoder:
             for k in at:
                 ids[k] = (self.line_end if k else b"") + self.bare[w[k]]
             yield b"".join(ids)
-        for known, found in ((self.spaced, new), (self.bare, new_first)):
+        for known, found in learned:
             for w in found:
                 if len(w) > CACHE_CHARS:
                     del known[w]
