@@ -24,7 +24,7 @@ LENGTH = 1024
 #: The token that ends a document.
 END = 0
 #: Words whose ids a Python worker remembers, and the longest that it remembers.
-CACHE_WORDS, CACHE_CHARS = 250_000, 40
+CACHE_WORDS, CACHE_CHARS = 400_000, 40
 #: Documents that a worker handles at a time.
 SLICE = 256
 
@@ -60,10 +60,10 @@ class Encoder:
     def _learn(self, known: dict[str, bytes], new: set[str], spaced: bool) -> list[str]:
         """Letters and the marks after them are two pre-tokens. The rest is encoded in groups of words, each a word
         with its space, or a line. Returns what it has put into known."""
-        words, marked = set(), []
-        for w in new:
+        words, marked = {w for w in new if w.isalpha()}, []
+        for w in new - words:
             stem = w.rstrip(punctuation)
-            if len(stem) < len(w) and stem.isalpha():
+            if stem.isalpha():
                 marked.append((w, stem, w[len(stem) :]))
                 if stem not in known:
                     words.add(stem)
@@ -82,7 +82,7 @@ class Encoder:
             else:
                 ends = [*(4 * np.flatnonzero(ids == self.newline)).tolist(), len(data)]
                 starts = [0, *[x + 4 for x in ends[:-1]]]
-            known.update([(w, data[i:j]) for w, i, j in zip(group, starts, ends, strict=True)])
+            known.update(zip(group, [data[i:j] for i, j in zip(starts, ends, strict=True)], strict=True))
         known.update([(w, known[stem] + self.tails[tail]) for w, stem, tail in marked])
         return [*words, *[w for w, _, _ in marked]]
 
@@ -112,8 +112,8 @@ class Encoder:
                 ids[k] = (self.line_end if k else b"") + self.bare[w[k]]
             yield b"".join(ids)
         for known, found in learned:
-            for w in found:
-                if len(w) > CACHE_CHARS:
+            if max(map(len, found), default=0) > CACHE_CHARS:
+                for w in [w for w in found if len(w) > CACHE_CHARS]:
                     del known[w]
 
 
@@ -139,12 +139,13 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_id
 
     def cut(batches):
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
+        end = END.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
                 rows = []
                 for doc, data in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
-                    data += END.to_bytes(4, "little")
+                    data += end
                     total, start = len(data) // 4, 0
                     for n in piece_lengths(total, length):
                         own = data[4 * start : 4 * (start + n)]
