@@ -24,9 +24,10 @@ STOP_WORDS = frozenset(
     di il che per non si da una sono con o e do os as com um uma não het een van dat op te zijn voor met
     """.split()
 )
-# Elements whose content is never text of the page, elements beside the article, and elements that only
-# mark up a run of text.
-RAW = frozenset("script style noscript template iframe object svg math canvas select textarea button head title".split())
+# Elements whose content is never text of the page (of these, some hold characters only and so reach to
+# the end of the page where no end tag follows), elements beside the article, and elements that only mark up a run of text.
+RAW = frozenset("script style noscript template iframe object svg math canvas select textarea button title".split())
+CHARACTERS = frozenset("script style noscript iframe textarea title".split())
 BESIDE = frozenset("nav footer aside form menu dialog".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
@@ -40,6 +41,7 @@ _BESIDE_NAME = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 
 #: Share of linked characters over which a block is boilerplate.
@@ -75,7 +77,7 @@ def blocks(page: str) -> Iterator[Block]:
                 yield Block(text, linked, beside or own_beside, article)
             parts.clear()
 
-    lower = None
+    unclosed: set[str] = set()  # elements of RAW that no end tag follows any more
     while True:
         m = _TOKEN.search(page, at)
         end = m.start() if m else len(page)
@@ -90,9 +92,16 @@ def blocks(page: str) -> Iterator[Block]:
         tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), (m[3] or m[6] or "")
         if tag in RAW:
             if not closing and not attributes.rstrip().endswith("/"):
-                lower = lower or page.lower()
-                over = lower.find(f"</{tag}", at)
-                at = len(page) if over < 0 else page.find(">", over) + 1 or len(page)
+                over = None if tag in unclosed else _END[tag].search(page, at)
+                if over:
+                    at = page.find(">", over.end()) + 1 or len(page)
+                elif tag in CHARACTERS:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
+            yield from flush()
+            continue
+        if tag == "head":  # what may stand in it is RAW or VOID; all else ends it, with or without its end tag
             yield from flush()
             continue
         if tag == "a":
