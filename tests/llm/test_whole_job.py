@@ -16,3 +16,28 @@ def test_elements_without_text_end_at_their_own_end_tag():
     assert html_text.main_text("<script>a </scripts> b</script >" + article) == PROSE
     assert html_text.main_text("<button><svg>" + article) == PROSE
     assert html_text.main_text("<style>" + article) == ""
+
+
+def test_layout_classes_around_an_article_do_not_hide_it():
+    for name in ("layout has-sidebar", "no-sidebar", "with-comments", "nav-open", "content-sidebar-wrap", "social"):
+        for tag in ("main", "article"):
+            assert html_text.main_text(f"<body><div class='{name}'><{tag}><p>{PROSE}</p></{tag}></div>") == PROSE, (name, tag)
+    for name in ("sidebar", "site-comments", "nav has-sidebar"):
+        assert html_text.main_text(f"<body><div class='{name}'><p>{PROSE}</p></div>") == ""
+    related = f"<div class='related'><article><p>{PROSE} Also.</p></article></div>"
+    assert html_text.main_text(f"<article><p>{PROSE}</p></article>" + related) == PROSE
+    assert html_text.main_text(f"<main><p>{PROSE}</p><div class='comments'><article class='comment'><p>{PROSE} I say.</p></article></div></main>") == PROSE
+    assert html_text.main_text(f"<div hidden><main><p>{PROSE}</p></main></div>") == ""
+
+
+POLISH = "Dom tego człowieka stał pośrodku miasteczka i był największy ze wszystkich domów, jakie kiedykolwiek tam zbudowano, więc każdy go znał."
+RUSSIAN = "Дом этого человека стоял посреди города и был самым большим из всех домов, которые там когда-либо построили, поэтому его знали все."
+CHINESE = "这个人的房子坐落在镇子的中央,是镇上所有房子中最大的一座,因此每个人都知道它,外地来的客人也常常向人打听这座房子的来历。"
+
+
+def test_pages_in_languages_without_listed_stop_words():
+    for text in (POLISH, RUSSIAN, CHINESE):
+        page = f"<body><div><a href=x>{text}</a></div><div><p>{text}<p>{text}</div><div class=comments><p>{text}</p></div><footer>{text}</footer>"
+        assert html_text.main_text(page) == text + "\n" + text
+    words = "Lorem dolor amet " * 10
+    assert html_text.main_text(f"<div><p>{PROSE} {PROSE}</p><div>{words}</div>") == f"{PROSE} {PROSE}"

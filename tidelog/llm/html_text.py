@@ -39,6 +39,8 @@ _BESIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|login|comments?|commentlist|disqus|respond|share|sharing|social|related|recommended|popup|modal|search|widget|pagination|pager)(?=$|[\s_-])",
     re.I,
 )
+#: Compounds that say how a page is laid out or what state it is in, not what the element is: has-sidebar, nav-open.
+_STATE = re.compile(r"(?:^|[_-])(?:has|have|no|not|non|with|without|is|show|hide|open|opened|closed|collapsed|expanded|active|enabled|disabled|layout)(?=$|[_-])", re.I)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
@@ -50,22 +52,25 @@ LINKS = 1 / 3
 SHORT, LONG = 70, 120
 #: Shares of stop words.
 FEW, MANY = 0.15, 0.25
+#: Characters of scripts that need fewer of them for the same text; each counts as three where length decides.
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
 
 
 class Block:
-    __slots__ = ("article", "beside", "linked", "text")
+    __slots__ = ("article", "beside", "linked", "text", "wrapped")
 
-    def __init__(self, text: str, linked: int, beside: bool, article: bool):
-        self.text, self.linked, self.beside, self.article = text, linked, beside, article
+    def __init__(self, text: str, linked: int, beside: bool, article: bool, wrapped: bool = False):
+        self.text, self.linked, self.beside, self.article, self.wrapped = text, linked, beside or wrapped, article, wrapped and not beside
 
 
 def blocks(page: str) -> Iterator[Block]:
     """The blocks of text between block-level tags, in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # element, beside the article, inside one
+    # element, beside the article by its markup, by names in its classes, by such names around its article only, inside one
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
     parts: list[tuple[str, bool]] = []
-    beside = article = own_beside = False
+    by_markup = by_name = wrapped = article = own_beside = False
     links = at = 0
 
     def flush() -> Iterator[Block]:
@@ -74,7 +79,7 @@ def blocks(page: str) -> Iterator[Block]:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
                 linked = sum(len(" ".join(html.unescape(t).split())) for t, in_link in parts if in_link)
-                yield Block(text, linked, beside or own_beside, article)
+                yield Block(text, linked, by_markup or by_name or own_beside, article, wrapped)
             parts.clear()
 
     unclosed: set[str] = set()  # elements of RAW that no end tag follows any more
@@ -124,33 +129,72 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         else:
             page_header = tag == "header" and not article
-            out = beside or tag in BESIDE or page_header or (tag not in ("html", "body", *ARTICLE) and _named_beside(attributes))
-            stack.append((tag, out, article or tag in ARTICLE))
-        beside, article = stack[-1][1:] if stack else (False, False)
+            markup, name, around = by_markup or tag in BESIDE or page_header, by_name, wrapped
+            if tag == "main":
+                name = around = False
+            elif tag == "article":
+                if name and not _beside_by_name(attributes):
+                    name, around = False, True
+            elif tag not in ("html", "body"):
+                markup, name = markup or _hidden(attributes), name or _beside_by_name(attributes)
+            stack.append((tag, markup, name, around, article or tag in ARTICLE))
+        by_markup, by_name, wrapped, article = stack[-1][1:] if stack else (False,) * 4
     yield from flush()
 
 
-def _named_beside(attributes: str) -> bool:
+def _hidden(attributes: str) -> bool:
+    return bool(attributes and _HIDDEN.search(attributes))
+
+
+def _beside_by_name(attributes: str) -> bool:
     if not attributes:
         return False
-    return bool(_HIDDEN.search(attributes)) or any(_BESIDE_NAME.search(next(filter(None, m.groups()), "")) for m in _ATTRIBUTE.finditer(attributes))
+    values = (next(filter(None, m.groups()), "") for m in _ATTRIBUTE.finditer(attributes))
+    return any(_BESIDE_NAME.search(v) and any(_BESIDE_NAME.search(t) and not _STATE.search(t) for t in v.split()) for v in values)
 
 
-def first_pass(b: Block) -> str:
-    """Good, bad, nearly good, or open."""
-    if b.beside or b.linked > LINKS * len(b.text):
-        return BAD
+def _named_beside(attributes: str) -> bool:
+    return _hidden(attributes) or _beside_by_name(attributes)
+
+
+def _boilerplate(b: Block) -> bool:
+    return b.beside or b.linked > LINKS * len(b.text)
+
+
+def _stop_share(b: Block) -> float:
     words = [w.strip(".,;:!?()\"'*%$#&|«»…").lower() for w in b.text.split()]
-    stop = sum(w in STOP_WORDS for w in words) / len(words)
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(b: Block, listed: bool = True) -> str:
+    """Good, bad, nearly good, or open. Length decides where the page is in no language whose stop words are listed."""
+    if _boilerplate(b):
+        return BAD
     if b.article:
         return GOOD if len(b.text) >= SHORT else OPEN
+    if not listed:
+        n = len(b.text) + 2 * len(_DENSE.findall(b.text))
+        return GOOD if n >= LONG else NEAR if n >= SHORT else OPEN
     if len(b.text) < SHORT:
         return OPEN
+    stop = _stop_share(b)
     if stop >= MANY:
         return GOOD if len(b.text) >= LONG else NEAR
     return NEAR if stop >= FEW else BAD
 
 
+def in_listed_language(found: list[Block]) -> bool:
+    """Whether at least half of the characters that stop words would decide on are in blocks that have some."""
+    some = few = 0
+    for b in found:
+        if not b.article and not _boilerplate(b):
+            if len(b.text) >= SHORT and _stop_share(b) >= FEW:
+                some += len(b.text)
+            elif len(b.text) >= SHORT or _DENSE.search(b.text):
+                few += len(b.text)
+    return some >= few
+
+
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Whether each block is text. Nearly good, then open ones take after the nearest good or bad ones.
 
@@ -190,7 +234,11 @@ def _nearest(found: list[Block], labels: list[str], order: range) -> list[str |
 def main_text(page: str | None) -> str:
     """The text blocks of a page, a line each."""
     found = list(blocks(page or ""))
-    labels = [first_pass(b) for b in found]
+    if not any(b.article and not b.beside for b in found):  # names around the only articles are those of the layout
+        for b in found:
+            b.beside = b.beside and not b.wrapped
+    listed = in_listed_language(found)
+    labels = [first_pass(b, listed) for b in found]
     return "\n".join(b.text for b, keep in zip(found, second_pass(found, labels), strict=True) if keep)
 
 
