@@ -1,6 +1,8 @@
 """Cases in which the operators once did less than the whole job."""
 
-from tidelog.llm import html_text
+from pyspark.sql import functions as F
+
+from tidelog.llm import html_text, quality
 
 PROSE = "The house of the man was in the middle of the town and it was the largest of all the houses that they had."
 
@@ -41,3 +43,27 @@ def test_pages_in_languages_without_listed_stop_words():
         assert html_text.main_text(page) == text + "\n" + text
     words = "Lorem dolor amet " * 10
     assert html_text.main_text(f"<div><p>{PROSE} {PROSE}</p><div>{words}</div>") == f"{PROSE} {PROSE}"
+
+
+def quality_rows(spark, n):
+    """n documents, every third of them bad and labelled so; the first is one word of 400,000 letters, the second one run of signs."""
+    good = lambda i: f"{PROSE} It was number {i} of the street."
+    texts = ["x" * 400_000, "=" * 10_000] + [f"CLICK!!! $$$ {i} @@@ BUY>>> ### {i}" if i % 3 == 0 else good(i) for i in range(2, n)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(n)], "doc_id long, quality int")
+    return docs, labels
+
+
+def test_one_very_long_word_leaves_scores_numbers(spark):
+    docs, labels = quality_rows(spark, 90)
+    rows = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert all(0 <= s <= 1 for r in rows.values() for s in (r.score, r.text_score, r.meta_score))
+    assert all(rows[i].kept == (i % 3 > 0) for i in range(2, 90))
+    assert {r.doc_id for r in quality.drop_rejected(docs, labels).collect()} == {i for i, r in rows.items() if r.kept}
+
+
+def test_without_a_classifier_nothing_is_rejected(spark):
+    docs, labels = quality_rows(spark, 30)
+    for few in (labels.filter("doc_id < 10 AND (quality = 0 OR doc_id = 1)"), labels.filter("quality = 0"), labels.filter("doc_id < 3").withColumn("quality", F.lit(0))):
+        assert quality.drop_rejected(docs, few).count() == 30
+        assert quality.classify(docs, few).filter("kept AND score < 0.5").count() == 30

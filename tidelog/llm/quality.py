@@ -52,7 +52,7 @@ TEXT_STATS = 9
 
 
 def text_features(text: str | None) -> np.ndarray:
-    """Shares of marks, upper case and digits, of distinct words and lines, word lengths; then hashed words."""
+    """Shares of marks, upper case and digits, of distinct words and lines, word lengths, those without a bound as logarithms; then hashed words."""
     text = text or ""
     words = text.split()
     n, chars = max(1, len(words)), max(1, len(text))
@@ -60,13 +60,13 @@ def text_features(text: str | None) -> np.ndarray:
     distinct = set(words)
     row = np.zeros(TEXT_STATS + WORD_COLUMNS, np.float32)
     row[:TEXT_STATS] = (
-        10 * len(_MARKS.findall(text)) / n,
+        math.log1p(10 * len(_MARKS.findall(text)) / n),
         10 * len(_UPPER.findall(text)) / chars,
         10 * len(_DIGIT.findall(text)) / chars,
         5 * len(distinct) / n,
-        5 * len(distinct) / math.sqrt(n),
+        math.log1p(5 * len(distinct) / math.sqrt(n)),
         len(set(lines)) / len(lines),
-        chars / n / 5,
+        math.log1p(chars / n / 5),
         math.log1p(n) / 3,
         float(not words),
     )
@@ -163,6 +163,10 @@ class CoTrained:
         sigmoid = lambda v: 1 / (1 + np.exp(-v))
         return sigmoid(self.joint.logit(both)), sigmoid(self.own[0].logit(both[:, [0]])), sigmoid(self.own[1].logit(both[:, [1]]))
 
+    def kept(self, scores: np.ndarray, threshold: float) -> pa.Array:
+        """Whether each document is kept: all are where there is no classifier to reject one."""
+        return pa.array(np.full(len(scores), True) if self.constant is not None else scores >= threshold)
+
 
 def _views(batch: pa.RecordBatch, columns: tuple[str, ...] = ("text", "source", "lang", "n_chars")) -> tuple[np.ndarray, np.ndarray]:
     text, source, lang, n_chars = (batch.column(c).to_pylist() for c in columns)
@@ -196,19 +200,19 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 text, meta = _views(part, INPUTS)
-                blobs = [pa.array([r.astype(np.float16).tobytes() for r in v], pa.binary()) for v in (text, meta)]
+                blobs = [pa.array([r.tobytes() for r in v], pa.binary()) for v in (text, meta)]
                 yield pa.RecordBatch.from_arrays([part.column("_doc"), part.column("_y").cast(pa.int32()), *blobs], names=["id", "y", "text", "meta"])
 
     found = learn.unionByName(others).mapInArrow(run, "id long, y int, text binary, meta binary").collect()
     found = sorted({(r.id, bytes(r.text)): r for r in found if r.y is not None}.values(), key=lambda r: (r.id, bytes(r.text))), sorted((r for r in found if r.y is None), key=lambda r: (r.id, bytes(r.text)))
     width = TEXT_STATS + WORD_COLUMNS, META_COLUMNS + 2
-    table = lambda rows, c, w: np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.float16).reshape(-1, w).astype(np.float32)
+    table = lambda rows, c, w: np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.float32).reshape(-1, w)
     (a, b), (c, d) = ((table(rows, "text", width[0]), table(rows, "meta", width[1])) for rows in found)
     return CoTrained(a, b, np.array([float(r.y) for r in found[0]]), c, d)
 
 
 def _scored(docs: DataFrame, model: CoTrained, schema, result) -> DataFrame:
-    """What `result` makes of a batch of docs and its three scores."""
+    """What `result` makes of a batch of docs, its three scores and the model."""
     inputs = _with_inputs(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
     n = len(docs.columns)
@@ -218,7 +222,7 @@ def _scored(docs: DataFrame, model: CoTrained, schema, result) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 own = pa.RecordBatch.from_arrays(part.columns[n:], names=list(INPUTS))
-                yield result(pa.RecordBatch.from_arrays(part.columns[:n], schema=pa.schema(list(part.schema)[:n])), held.value.scores(*_views(own, INPUTS)))
+                yield result(pa.RecordBatch.from_arrays(part.columns[:n], schema=pa.schema(list(part.schema)[:n])), held.value.scores(*_views(own, INPUTS)), held.value)
 
     return inputs.mapInArrow(run, schema)
 
@@ -227,12 +231,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """One row per row of docs: doc_id, score (that it is good), text_score, meta_score, kept.
 
     Null text counts as empty, null metadata as a value of its own. With under 20 labelled rows, or of one class, all
-    scores are the share of good ones (1 without any). A doc_id that is labelled twice has the larger label.
+    scores are the share of good ones (1 without any) and all rows are kept. A doc_id that is labelled twice has the larger label.
     """
     slim = docs.select(F.col("doc_id").cast("long"), *[c for c in ("text", "source", "lang", "n_chars") if c in docs.columns])
 
-    def rows(batch, scores):
-        columns = [batch.column(0), *(pa.array(s, pa.float64()) for s in scores), pa.array(scores[0] >= threshold)]
+    def rows(batch, scores, model):
+        columns = [batch.column(0), *(pa.array(s, pa.float64()) for s in scores), model.kept(scores[0], threshold)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "text_score", "meta_score", "kept"])
 
     return _scored(slim, fit(slim, labels), "doc_id long, score double, text_score double, meta_score double, kept boolean", rows)
@@ -241,7 +245,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that classify keeps, with all their columns."""
 
-    def rows(batch, scores):
-        return batch.filter(pa.array(scores[0] >= threshold))
+    def rows(batch, scores, model):
+        return batch.filter(model.kept(scores[0], threshold))
 
     return _scored(docs, fit(docs, labels), docs.schema, rows)
