@@ -1,8 +1,10 @@
 """Cases in which the operators once did less than the whole job."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from tidelog.llm import html_text, quality
+from tidelog.llm import decontaminate, html_text, quality
 
 PROSE = "The house of the man was in the middle of the town and it was the largest of all the houses that they had."
 
@@ -67,3 +69,47 @@ def test_without_a_classifier_nothing_is_rejected(spark):
     for few in (labels.filter("doc_id < 10 AND (quality = 0 OR doc_id = 1)"), labels.filter("quality = 0"), labels.filter("doc_id < 3").withColumn("quality", F.lit(0))):
         assert quality.drop_rejected(docs, few).count() == 30
         assert quality.classify(docs, few).filter("kept AND score < 0.5").count() == 30
+
+
+def words_of(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("aeionrstlmdk") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def test_short_items_are_found_at_the_bounds_of_words():
+    index = decontaminate.Index([(1, "What is the capital of Australia?"), (2, "the cap"), (3, "北京是中国的首都吗?"), (4, ""), (2, "The  cap")])
+    assert sorted(index.search(["So: what is  the capital of australia?", "他问北京是中国的首都吗?是的", "", "the cap."])) == [(0, 1, 0, 4, 37), (1, 3, 0, 2, 12), (3, 2, 0, 0, 7), (3, 2, 0, 0, 7)]
+
+
+def test_half_an_item_is_found():
+    for n in (20, 70, 300):
+        item = words_of(n, n)
+        index = decontaminate.Index([(7, item)])
+        for at in (0, len(item) // 4, len(item) // 2):
+            half = item[at : at + len(item) // 2].strip()
+            rows = list(index.search([words_of(1, 50) + " " + half + " " + words_of(2, 50)], parts=True))
+            assert [r[:3] for r in rows] == [(0, 7, 0)], (n, at)
+        assert [r[2:] for r in index.search([item], parts=True)] == [(0, 0, len(item))]
+        assert not list(index.search([words_of(3, 500)], parts=True))
+
+
+def test_alignment_in_bands_wider_than_4096():
+    item = words_of(5, 2600)
+    assert len(item) > 12_800
+    text = "ab " * 40 + item[:5000] + "#" * 30 + item[5000:9000] + item[9010:]
+    ((_, _, edits, start, end),) = decontaminate.Index([(1, item)]).search([text])
+    assert (edits, start, end) == (40, 120, 120 + len(item) + 20)
+
+
+def test_documents_with_half_an_item_are_dropped(spark):
+    item = words_of(6, 70)
+    docs = spark.createDataFrame([(1, item), (2, "x " + item[: len(item) // 2]), (3, words_of(7, 90))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
+    assert [r.doc_id for r in decontaminate.find_items(docs, bench).collect()] == [1]
+
+
+def test_alignment_on_diagonals_over_4096():
+    item, found = "abcdefghij" * 6, decontaminate.semi_global
+    region = "z" * 5000 + item[:30] + "##" + item[30:]
+    assert found(decontaminate.codes(item), decontaminate.codes(region), 0, 6000, 4) == (2, 5000, 5062)
