@@ -8,7 +8,8 @@ from array import array
 import numpy as np
 import pytest
 
-from tidelog.llm import decontaminate, html_text, langid, near_dedup, packing, pii, quality
+from tidelog.llm import decontaminate, graph, html_text, langid, near_dedup, packing, pii, quality
+from tidelog.llm.common import Workspace
 from tidelog.llm.queries import table, tokenizer
 
 DIR = "/root/testdata/sf0.01"
@@ -133,6 +134,68 @@ def test_blocks_of_large_buckets_lose_nothing(spark, monkeypatch):
     assert {r.component_id for r in found} == {0}
 
 
+def brute_components(sets, percent):
+    up = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and up[a] != up[b] and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                old, new = max(up[a], up[b]), min(up[a], up[b])
+                up = {i: new if c == old else c for i, c in up.items()}
+    return up
+
+
+def test_families_in_one_cluster_are_told_apart(spark, monkeypatch):
+    """Families whose members are just under or over the similarity, in blocks much smaller than the cluster."""
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 6)
+    monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 5)
+    rng, rows = random.Random(8), []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(150):
+        own = list(base)
+        for k in range(i % 5):  # a family has these changes in common
+            own[10 + 9 * k] = f"f{i % 5}"
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in rows}
+    expected = brute_components(sets, 80)
+    assert len(set(expected.values())) >= 3
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert {r.doc_id: r.component_id for r in found} == expected
+
+
+def test_meeting_in_blocks_connects_what_all_pairs_connect(spark):
+    """Rows are linked where their numbers differ by 1: chains in groups, blocks of three rows."""
+    rng = random.Random(9)
+    numbers = rng.sample(range(300), 200)
+    rows = [(n % 2, i, 1, n // 2) for i, n in enumerate(numbers)]
+
+    def test(columns):
+        v = columns["v"].to_numpy()
+        return lambda x, others: others[abs(v[others] - v[x]) == 1]
+
+    ws = Workspace(spark, "test")
+    df = spark.createDataFrame(rows, "g long, id long, bytes long, v long")
+    links = graph.meet(df, "g", test, ws, 3)
+    up = {i: i for _, i, *_ in rows}
+    for g, i, _, v in rows:
+        for h, j, _, w in rows:
+            if g == h and abs(v - w) == 1 and up[i] != up[j]:
+                old, new = max(up[i], up[j]), min(up[i], up[j])
+                up = {k: new if c == old else c for k, c in up.items()}
+    for hub in (graph.HUB, 2):
+        found = {r.id: r.comp for r in graph.components(links, ws, hub).collect()}
+        assert {i: found.get(i, i) for i in up} == up
+
+
+def test_texts_under_one_id_lose_no_link(spark):
+    """Rows that share a doc_id are one document, and each of its texts may link it."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " z"), (2, b), (3, b + " z"), (3, c), (3, c), (4, c + " z"), (5, "other words only here"), (6, b)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (3, 1), (4, 1), (5, 5), (6, 1)]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -214,6 +277,6 @@ def test_chunk_keys_meet_under_the_distance(spark):
         own = base.copy()
         own[rng.choice(near_dedup.KEYED, distance, replace=False)] += 1
         rows.append((i, bytearray(own.tobytes())))
-    keys = {r.id: set(r.keys) for r in spark.createDataFrame(rows, "id long, keyed binary").select("id", near_dedup.chunk_keys(distance).alias("keys")).collect()}
+    keys = {r.id: set(r.keys) for r in spark.createDataFrame(rows, "id long, sig binary").select("id", near_dedup.chunk_keys(distance).alias("keys")).collect()}
     assert all(keys[0] & keys[i] for i in range(1, 60))
     assert len(keys[0]) == near_dedup.KEYED

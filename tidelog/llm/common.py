@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, written intermediates, row keys."""
+"""What the operators share: the shared folder, written intermediates, joins with few ids."""
 
 from __future__ import annotations
 
@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 
 #: The white space that the contracts name.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of narrow tables (ids, hashes) that may be broadcast: some 40 MB as a hash table. They are counted first.
+BROADCAST_ROWS = 1_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: the cluster's spark.checkpoint.dir.
 
-    Only where the session has none (tests, a single machine) is one made.
+    Only a session in one process, as in tests, may do without: one is made for it.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidelog.scratch.dir", None)
     if not known:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("tidelog.scratch.dir", known)
     return f"{known.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -28,15 +34,58 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Writes df under path and reads it back; the shuffles that made it are dropped as soon as it is written."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
-    Cuts the lineage: a lost executor costs the tasks of one step, not the whole plan. The tables go with the
-    folder of the application.
+    Cuts the lineage: a lost executor costs the tasks of one step, not the whole plan. The table stays until `release`.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_table(df, scratch(df.sparkSession, name))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written to the shared folder; results that read them end."""
+    _delete(spark, shared_dir(spark))
+
+
+class Workspace:
+    """Written intermediates that an operator drops after their last reader."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, scratch(spark, name)
+        self._tables: dict[int, tuple[DataFrame, str]] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        found = write_table(df, path)
+        self._tables[id(found)] = found, path
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing will read again."""
+        for t in tables:
+            _delete(self.spark, self._tables.pop(id(t))[1])
+
+
+def few(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written narrow table, to be broadcast if it has at most so many rows; larger ones are shuffled."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def text_or_empty(c: str) -> Column:
