@@ -15,35 +15,58 @@ from tidelog.llm.queries import table, tokenizer
 DIR = "/root/testdata/sf0.01"
 
 
-def test_suffix_automaton_parses_as_substring_search():
+def plain_phrases(train, text):
+    """Ends of phrases in a parse of the whole text by substring search."""
+    count, phrase = 0, ""
+    for c in text:
+        if phrase + c in train:
+            phrase += c
+        else:
+            count, phrase = count + 1, c if c in train else ""
+    return count
+
+
+def phrases(train, text):
+    """The same by the automaton, in segments."""
+    a, size = langid.SuffixAutomaton(train), langid.SEGMENT
+    parts = [text[i : i + size] for i in range(0, len(text), size)]
+    codes = np.zeros((max(map(len, parts)), len(parts)), np.int32)
+    for j, part in enumerate(parts):
+        codes[: len(part), j] = [a.classes.get(c, 0) for c in part]
+    return a.phrases(codes, np.array([len(p) for p in parts]), np.arange(len(parts)) - 1).sum()
+
+
+def test_suffix_automaton_parses_as_substring_search(monkeypatch):
     rng = random.Random(1)
-    for _ in range(200):
-        train = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 60)))
-        text = "".join(rng.choice("abcd ") for _ in range(40))
-        count, phrase = 0, ""
-        for c in text:
-            if phrase + c in train:
-                phrase += c
-            else:
-                count, phrase = count + 1, c if c in train else ""
-        a = langid.SuffixAutomaton(train)
-        assert a.misses(np.array([[a.classes.get(c, 0)] for c in text], np.int32))[0] == count
+    for size in (256, 7):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        for _ in range(200):
+            letters = rng.choice(["abc ", "ab", "abcdefgh"])
+            train = "".join(rng.choice(letters) for _ in range(rng.randint(1, 60)))
+            text = "".join(rng.choice(letters + "z") for _ in range(rng.randint(1, 90)))
+            assert phrases(train, text) == plain_phrases(train, text)
+            assert phrases(train, train * 3) == plain_phrases(train, train * 3)
 
 
-def test_automaton_with_a_small_alphabet(monkeypatch):
-    monkeypatch.setattr(langid, "ALPHABET", 2)
+def test_long_texts_and_large_alphabets_parse_as_a_whole():
     rng = random.Random(2)
-    for _ in range(200):
-        train = "".join(rng.choice("aabbcd") for _ in range(rng.randint(1, 60)))
-        text = "".join(rng.choice("aabbcd") for _ in range(40))
-        a = langid.SuffixAutomaton(train)
-        known, count, phrase = "".join(c if c in a.classes else "\0" for c in train), 0, ""
-        for c in text:
-            if c in a.classes and phrase + c in known:
-                phrase += c
-            else:
-                count, phrase = count + 1, c if c in a.classes else ""
-        assert a.misses(np.array([[a.classes.get(c, 0)] for c in text], np.int32))[0] == count
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    words = ["".join(rng.choice(han) for _ in range(rng.randint(1, 3))) for _ in range(1500)]
+    train = "".join(rng.choice(words) for _ in range(4000))
+    text = "".join(rng.choice(words) for _ in range(50_000))
+    assert len(text) > 90_000 and len(set(train)) > 1500
+    assert phrases(train, text) == plain_phrases(train, text)
+
+
+def test_languages_with_thousands_of_characters():
+    rng = random.Random(3)
+    han = [chr(0x4E00 + i) for i in range(4000)]
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    one, two = ([make(letters, 2) for _ in range(900)] for letters in (han[:2500], han[1500:]))
+    text = lambda words, n: "".join(rng.choice(words) for _ in range(n))
+    model = langid.Model({"xx": [text(one, 6000)], "yy": [text(two, 6000)], "en": ["the cat and the dog " * 50]})
+    found = model.predict([text(one, 40), text(two, 40), text(one, 4000), "the dog", "", "12"])
+    assert [lang for lang, _ in found] == ["xx", "yy", "xx", "en", "und", "und"]
 
 
 def test_language_on_held_out_rows(spark):

@@ -102,6 +102,8 @@ def test_language_id(spark):
     found = {r.doc_id: r for r in langid.identify(df).collect()}
     assert found[50].lang_pred == found[51].lang_pred == "und"
     assert found[52].lang_pred == "de" and found[None].lang_pred == "en" and found[None].held_out
+    alone = langid.identify(df.filter("doc_id = 53"), langid.sample_texts(df)).collect()  # a text of many segments
+    assert (alone[0].lang_pred, alone[0].score) == (found[53].lang_pred, found[53].score) and found[53].lang_pred in ("en", "de")
     assert all(0 <= r.score <= 1 for r in found.values())
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(df.limit(0)).count() == 0
