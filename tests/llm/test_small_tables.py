@@ -118,6 +118,35 @@ def test_quality_edges(spark):
     assert quality.drop_rejected(df, labels.limit(0)).columns == df.columns
 
 
+def test_quality_of_a_fitted_model_on_edges(spark):
+    good, bad = "The house of the man was in the middle of the town, and it was large.", "BUY!!! $$$ @@@ >>> NOW ### 99"
+    many = [(100 + i, f"{good} Number {i}." if i % 2 else f"{bad} {i}") for i in range(120)]
+    df = docs(spark, [*CASES, *many, (100, bad + " 0"), (300, None), (301, good), (302, "漢字" * 50_000)])
+    df = df.withColumn("source", F.when(F.col("doc_id") == 300, None).otherwise(F.col("source"))).withColumn("n_chars", F.when(F.col("doc_id") == 301, None).otherwise(F.col("n_chars")))
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(100)] + [(100, 0), (None, 1), (3, None), (999, 1)], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+    assert model.constant is None
+    rows = quality.classify(df, labels).collect()
+    assert len(rows) == df.count() and all(0 <= r.score <= 1 and r.kept == (r.score >= quality.THRESHOLD) for r in rows)
+    assert sum(r.kept == bool(r.doc_id % 2) for r in rows if r.doc_id and 200 <= r.doc_id < 220) >= 19
+    assert len({r.score for r in rows if r.doc_id == 100}) == 1
+    half = quality.classify(df, labels, threshold=next(r.score for r in rows if r.doc_id == 101))
+    assert half.filter("doc_id = 101 AND kept").count() == 1  # a tie with the threshold
+    kept = quality.drop_rejected(df, labels)
+    assert kept.columns == df.columns and kept.count() == sum(r.kept for r in rows)
+    assert quality.classify(df.limit(0), labels).count() == 0
+
+
+def test_the_pool_holds_no_labelled_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "CoTrained", lambda *parts: seen.append(parts))
+    df = docs(spark, [(i, f"text {i}") for i in range(200)])
+    quality.fit(df, spark.createDataFrame([(i, i % 2) for i in range(0, 200, 2)], "doc_id long, quality int"))
+    text, _, y, pool, _ = seen[0]
+    assert len(y) == len(text) == 100 and len(pool) == 100
+    assert not {r.tobytes() for r in text} & {r.tobytes() for r in pool}
+
+
 def test_packing_edges(spark):
     packed = packing.pack(docs(spark, CASES), tokenizer(), with_ids=True).collect()
     assert len({r.sequence_id for r in packed}) == len(packed)

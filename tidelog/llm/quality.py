@@ -184,16 +184,19 @@ def _with_inputs(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Fits on at most about `labelled` rows of labels (doc_id, quality) and `pool` other rows, chosen by hash."""
+    """Fits on at most about `labelled` rows of labels (doc_id, quality) and `pool` rows without a label, chosen by hash."""
     share = lambda n, most: min(1.0, most / max(1, n))
-    pick = lambda c, part: F.pmod(F.xxhash64(c, F.lit("quality")), F.lit(1_000_000)) < int(part * 1_000_000)
+    # of the whole range of a hash, so that a small share of very many rows is still one
+    pick = lambda c, part: F.xxhash64(c, F.lit("quality")) <= min(2**63 - 1, int(part * 2**64) - 2**63)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_y"))
     n_known, n_docs = known.count(), docs.count()
     chosen = known.filter(pick("_id", share(n_known, labelled))).limit(2 * labelled)
     slim = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_doc"), *[c for c in ("text", "source", "lang", "n_chars") if c in docs.columns])
     rows = _with_inputs(slim).select("_doc", *INPUTS)
     learn = rows.join(F.broadcast(chosen), rows["_doc"] == chosen["_id"]).drop("_id")
-    others = rows.filter(pick("_doc", share(n_docs, pool))).limit(2 * pool).withColumn("_y", F.lit(None).cast("int"))
+    part = share(max(n_docs - n_known, n_docs // 4), pool)
+    in_part = known.filter(pick("_id", part)).select("_id")
+    others = rows.filter(pick("_doc", part)).join(in_part, F.col("_doc") == F.col("_id"), "left_anti").limit(2 * pool).withColumn("_y", F.lit(None).cast("int"))
 
     def run(batches):
         for batch in batches:
@@ -230,8 +233,10 @@ def _scored(docs: DataFrame, model: CoTrained, schema, result) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, score (that it is good), text_score, meta_score, kept.
 
-    Null text counts as empty, null metadata as a value of its own. With under 20 labelled rows, or of one class, all
-    scores are the share of good ones (1 without any) and all rows are kept. A doc_id that is labelled twice has the larger label.
+    Null text counts as empty, null metadata as a value of its own; a null doc_id is scored as any other. With under 20
+    labelled rows, or of one class, no classifier can be fitted: all scores are the share of good ones (1 without any) and all
+    rows are kept. A doc_id that is labelled twice has the larger label; rows that repeat get equal scores; a score
+    at the threshold is kept. Whole texts are read, of any length. No rows give no rows.
     """
     slim = docs.select(F.col("doc_id").cast("long"), *[c for c in ("text", "source", "lang", "n_chars") if c in docs.columns])
 
