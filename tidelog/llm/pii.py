@@ -1,12 +1,14 @@
 """Personal data by weak supervision.
 
-Base spans follow fixed rules. Further candidates (local phone numbers, identity numbers, spelled-out addresses, names)
-are judged by labelers that may each vote for, against, or not at all: a strict form, a gazetteer, words of the context
-for and against, and the neighbouring characters. Expectation-maximisation over the counts of vote patterns estimates
-the reliability of each labeler; a logistic classifier of spans is then trained on the resulting labels and decides.
-
-All that touches texts is built-in expressions. Only counts of vote patterns reach the driver: at most some thousand
-rows, whatever the corpus.
+Base spans follow fixed rules. Further candidates (local phone numbers, identity numbers, spelled-out addresses, names,
+secrets such as tokens and keys) are judged by labelers that may each vote for, against, or not at all: a strict form, a
+gazetteer, words of the context for and against, the neighbouring characters, and the variety of the characters.
+Expectation-maximisation over the counts of vote patterns estimates the reliability of each labeler and the share of
+true spans of each kind. A logistic classifier of what a span itself looks like (its length, letters, digits and
+neighbours, no votes) is then trained on the resulting labels and decides.
+
+All that touches texts is built-in expressions. Only counts by vote pattern and by features reach the driver: at most
+some ten thousand rows, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -29,24 +31,38 @@ BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP_VALID = rf"^(?:{_PART}\.){{3}}{_PART}$"
 
-# Given names, titles, and words of a context.
-NAMES = """Anna Ana Andrea Carlos Charles Claire Daniel David Elena Emma Francois Hans Helena Ingrid James Jan Jean John
-Jorge Jose Juan Julia Jurgen Karl Klaus Laura Louis Luca Luis Maria Marie Mark Martin Mary Michael Miguel Monika Nicolas
-Olga Patricia Paul Pedro Peter Pierre Robert Sarah Sofia Stefan Susan Thomas Ursula Wolfgang""".split()
+# Given names, titles, and how issued secrets begin.
+NAMES = """Adam Adrian Agnes Aisha Albert Alejandro Alex Alexander Alexandra Alice Ana Andrea Andrew Angela Anna Anne
+Antoine Antonio Arthur Barbara Beatrice Benjamin Bernard Bianca Brian Bruno Camille Carl Carla Carlos Carmen Caroline
+Catherine Charles Charlotte Chloe Christian Christine Christopher Claire Clara Claudia Daniel David Deborah Diana Diego
+Dorothy Edward Elena Elizabeth Emily Emma Eric Erika Eva Felix Fernando Francesca Francis Francois Franz Frederic
+Friedrich Gabriel George Gerhard Giovanni Giulia Grace Hans Harald Heinrich Helen Helena Henry Ingrid Irene Isabel Jacques
+James Jan Jane Javier Jean Jennifer Jessica Joan John Jonathan Jorge Jose Joseph Juan Julia Julian Jurgen Karen Karl
+Katharina Kevin Klaus Laura Lea Leon Linda Lisa Louis Louise Luca Lucas Lucia Luis Manuel Marco Margaret Maria Marie Mark
+Martin Martina Mary Matthew Maximilian Michael Michelle Miguel Monika Nadia Nancy Nicolas Nina Olga Oliver Olivia Oscar
+Pablo Patricia Patrick Paul Paula Pedro Peter Philip Pierre Rachel Rafael Richard Robert Rosa Ruth Samuel Sandra Sara Sarah
+Sebastian Silvia Simon Sofia Stefan Stephanie Susan Thomas Ursula Victor Vincent Walter William Wolfgang""".split()
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Mme Sra".split()
-FOR = r"(?i)(?:phone|tel|call|mobile|fax|contact|e-?mail|write to|name is|named|signed|ssn|social security|passport|telefon|téléphone|teléfono|nombre|nom|name)\b[^\n]{0,20}$"
-AGAINST = r"(?i)(?:version|isbn|order|invoice|token|key|hash|licen[cs]e|copyright|page|figure|serial|model|build|ref)\b[^\n]{0,20}$"
+ISSUED = "AIza AKIA ASIA SG. eyJ ghp_ gho_ github_pat_ glpat- npm_ sk- sk_live_ sk_test_ xoxb- xoxp-".split()
+# Words before a span that speak for it and against it.
+PERSON = r"(?i)(?:phone|tel|call|mobile|fax|contact|(?:e-?)?mail|write to|name is|named|signed|ssn|social security|passport|telefon|téléphone|teléfono|nombre|nom|name)\b[^\n]{0,20}$"
+SECRET = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|authorization|credentials?)\b[^\n]{0,8}$"
+NUMBERED = r"(?i)(?:version|isbn|order|invoice|token|key|hash|licen[cs]e|copyright|page|figure|serial|model|build|ref)\b[^\n]{0,20}$"
+DERIVED = r"(?i)(?:sha-?[0-9]*|md5|commit|checksum|digest|hash|uuid|revision|etag|integrity|doi|url|href|src|path|file)\b[^\n]{0,8}$"
 
 #: Candidates beyond the base, by kind, and what shows early that a text holds one.
 MORE = {
     "phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "id": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]{1,63}){1,8}",
-    "name": rf"(?<![\p{{L}}])(?:(?:{'|'.join(TITLES)})\.? [A-Z][\p{{Ll}}]{{1,30}}|(?:{'|'.join(NAMES)}) [A-Z][\p{{Ll}}]{{1,30}})(?![\p{{L}}])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?[\[(](?:dot|DOT)[\])] ?[A-Za-z0-9-]++)++",
+    "name": rf"(?<![\p{{L}}])(?:(?:{'|'.join(TITLES)})\.? [A-Z][\p{{Ll}}]++|(?:{'|'.join(NAMES)}) [A-Z][\p{{Ll}}]++)(?![\p{{L}}])",
+    "secret": r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])(?=[0-9+/_.-]*+[A-Za-z])[A-Za-z0-9+/_.-]{20,}+={0,2}",
 }
-HINTS = {"phone": r"[0-9]{3}\)?[ .-][0-9]{3}", "id": r"[0-9]-[0-9]{2}-[0-9]", "email": r"[\[(](?:at|AT)[\])]", "name": None}
-KINDS = ["email", "ip", "card", "phone", "name", "id"]
-LABELERS = ["form", "gazetteer", "context", "against", "neighbours"]
+HINTS = {"phone": r"[0-9]{3}\)?[ .-][0-9]{3}", "id": r"[0-9]-[0-9]{2}-[0-9]", "email": r"[\[(](?:at|AT)[\])]", "name": None, "secret": r"[A-Za-z0-9+/_.-]{20}"}
+KINDS = ["email", "ip", "card", "phone", "name", "id", "secret"]
+LABELERS = ["form", "gazetteer", "context", "against", "neighbours", "variety"]
+#: What the classifier sees of a span, each a small number.
+FEATURES = ["rank", "size", "letters", "digits", "distinct", "before", "after"]
 #: Characters before a span that the context labelers read.
 CONTEXT = 40
 #: Steps of expectation-maximisation and of the classifier's training.
@@ -109,34 +125,58 @@ def vote(yes: Column, no: Column) -> Column:
 
 
 def judged(text: Column, kind: str, s: Column) -> Column:
-    """A candidate of that kind with the labelers' votes."""
+    """A candidate of that kind with the labelers' votes and the classifier's features."""
     m, at = s["text"], s["start"]
     before = F.substring(text, F.greatest(at - CONTEXT + 1, F.lit(1)), F.least(at, F.lit(CONTEXT)))
     after = F.substring(text, s["end"] + 1, F.lit(1))
     never = F.lit(False)
+    distinct = F.size(F.array_distinct(F.split(m, "")))
     form = {
         "phone": vote(m.rlike(r"^\([0-9]{3}\) [0-9]{3}-[0-9]{4}$|^([0-9]{3})([.-])[0-9]{3}\2[0-9]{4}$"), m.rlike("^0")),
         "id": vote(~m.rlike("^(?:000|666|9)|-00-|-0000$"), m.rlike("^(?:000|666|9)|-00-|-0000$")),
         "email": vote(m.rlike(r"(?i)dot[\])] ?(?:com|org|net|edu|de|fr|es|eu)$"), never),
         "name": vote(m.rlike(rf"^(?:{'|'.join(TITLES)})\.? "), never),
+        # even runs of hex digits, or all of capitals, small letters and digits; not words, paths or dates
+        "secret": vote(m.rlike(r"^(?:(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,})$") | (m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9].*[0-9].*[0-9]") & ~m.rlike(r"[/.]")), m.rlike(r"[/._-][A-Za-z]*[/._-]|[a-z]{9}|[A-Z]{12}|^[0-9._-]+T")),
     }
     listed = {
         "name": vote(m.rlike(rf"^(?:{'|'.join(NAMES)}) "), never),
         "phone": vote(m.rlike(r"^\(?[2-9][0-8][0-9]"), m.rlike(r"^\(?[01]")),
+        "secret": vote(m.rlike(rf"^(?:{'|'.join(x.replace('.', chr(92) + '.') for x in ISSUED)})"), never),
     }
+    secret = kind == "secret"
     touching = before.rlike(r"[0-9A-Za-z_\"'=/#]$") | after.rlike(r"^[0-9A-Za-z_\"'=/]")
-    votes = [form[kind], listed.get(kind, F.lit(-1)), vote(before.rlike(FOR), never), vote(never, before.rlike(AGAINST)), vote(never, touching)]
+    quoted = before.rlike(r"[\"'=:] ?$")
+    linked = before.rlike(r"[/\\?&#%@]$|://[^ ]*$")
+    votes = [
+        form[kind],
+        listed.get(kind, F.lit(-1)),
+        vote(before.rlike(SECRET if secret else PERSON), never),
+        vote(never, before.rlike(DERIVED if secret else NUMBERED)),
+        vote(quoted & ~linked, linked) if secret else vote(never, touching),
+        vote(distinct >= 10, distinct < 8) if secret else vote(never, distinct <= 3),
+    ]
+    beside = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[\"'`=:(\\[]"), 2).otherwise(3)
+    share = lambda pattern: F.round(3 * F.length(F.regexp_replace(m, pattern, "")) / F.length(m)).cast("int")
+    cells = {
+        "rank": F.lit(KINDS.index(kind)),
+        "size": F.least(F.length(m) / 8, F.lit(5)).cast("int"),
+        "letters": F.when(m.rlike("[a-z]"), 1).otherwise(0) + F.when(m.rlike("[A-Z]"), 2).otherwise(0),
+        "digits": share("[^0-9]"),
+        "distinct": F.least(distinct / 5, F.lit(4)).cast("int"),
+        "before": beside(F.substring(before, -1, 1)),
+        "after": beside(after),
+    }
     return F.struct(
         at.alias("start"),
-        F.lit(KINDS.index(kind)).alias("rank"),
         s["end"].alias("end"),
         *[v.cast("int").alias(n) for n, v in zip(LABELERS, votes, strict=True)],
-        F.least(F.length(m) / 8, F.lit(4)).cast("int").alias("size"),
+        *[c.cast("int").alias(n) for n, c in cells.items()],
     )
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, rank, end, votes..., size>> of the further kinds."""
+    """array<struct<start, end, votes..., features...>> of the further kinds."""
 
     def of_kind(kind: str) -> Column:
         hint = text.rlike(HINTS[kind]) if HINTS[kind] else None
@@ -153,27 +193,27 @@ class Reliability:
     false: tuple[float, float, float]
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], float]], steps: int = EM_STEPS) -> tuple[float, list[Reliability], list[float]]:
-    """(share of true spans, reliabilities, probability of each pattern) from counted vote patterns.
+def expectation_maximisation(patterns: list[tuple[int, tuple[int, ...], float]], steps: int = EM_STEPS) -> tuple[dict[int, float], list[Reliability], list[float]]:
+    """(share of true spans of each kind, reliabilities, probability of each pattern) from counted (kind, votes, count).
 
     Starts from labelers that are right more often than wrong, so that "true" keeps its sense.
     """
-    share = PRIOR
+    share = {kind: PRIOR for kind, _, _ in patterns}
     known = [Reliability((0.5, 0.15, 0.35), (0.15, 0.5, 0.35)) for _ in LABELERS]
     beliefs: list[float] = [PRIOR] * len(patterns)
     for _ in range(steps):
-        for k, (votes, _) in enumerate(patterns):
-            odds = math.log(share / (1 - share))
+        for k, (kind, votes, _) in enumerate(patterns):
+            odds = math.log(share[kind] / (1 - share[kind]))
             for v, r in zip(votes, known, strict=True):
                 slot = (1, 0, -1).index(v)
                 odds += math.log(r.true[slot] / r.false[slot])
             beliefs[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        total = sum(n for _, n in patterns)
-        hit = sum(n * b for (_, n), b in zip(patterns, beliefs, strict=True))
-        share = (hit + 1) / (total + 2)
+        for kind in share:
+            own = [(n, b) for (of, _, n), b in zip(patterns, beliefs, strict=True) if of == kind]
+            share[kind] = (sum(n * b for n, b in own) + 1) / (sum(n for n, _ in own) + 2)
         for j in range(len(LABELERS)):
             t, f = [1.0, 0.3, 0.7], [0.3, 1.0, 0.7]  # pseudo-counts keep the sense of a labeler without votes
-            for (votes, n), b in zip(patterns, beliefs, strict=True):
+            for (_, votes, n), b in zip(patterns, beliefs, strict=True):
                 slot = (1, 0, -1).index(votes[j])
                 t[slot] += n * b
                 f[slot] += n * (1 - b)
@@ -181,10 +221,6 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], float]], step
     return share, known, beliefs
 
 
-def features(rank: int, size: int, votes: tuple[int, ...]) -> list[tuple[str, int]]:
-    return [("rank", rank), ("size", size), *zip(LABELERS, votes, strict=True)]
-
-
 def train(rows: list[tuple[list[tuple[str, int]], float, float]], steps: int = TRAIN_STEPS) -> dict[tuple[str, int] | None, float]:
     """Weights of a logistic classifier of (features, soft label, count) by gradient ascent; None is the constant."""
     w: dict = {None: 0.0} | {f: 0.0 for x, _, _ in rows for f in x}
@@ -205,20 +241,28 @@ def train(rows: list[tuple[list[tuple[str, int]], float, float]], steps: int = T
 def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, spans (sorted array<struct<start, rank, end>>), base (those of the base rules).
 
-    Null text counts as empty. A further span that overlaps a base span is left out. Without candidates no classifier
-    is needed and base spans alone remain. Repeated rows are answered each; other columns are not looked at.
+    Null text counts as empty; texts of any length are read as a whole. A further span that overlaps a base span is left
+    out. Without candidates no classifier is needed and base spans alone remain; a candidate at the threshold is a span.
+    Repeated rows are answered each; no rows give no rows; other columns are not looked at.
     """
     text = F.col("text")
     rows = docs.select("doc_id", text_or_empty("text").alias("text"))
     found = materialize(rows.select("doc_id", base_spans(text).alias("base"), candidates(text).alias("more")), "spans")
-    votes = found.select(F.explode("more").alias("c")).groupBy("c.rank", "c.size", *[f"c.{n}" for n in LABELERS]).count().collect()
-    counted = [((r["rank"], r["size"], tuple(r[n] for n in LABELERS)), float(r["count"])) for r in sorted(votes)]
-    _, _, beliefs = expectation_maximisation([(k[2], n) for k, n in counted])
-    weights = train([(features(*k), b, n) for (k, n), b in zip(counted, beliefs, strict=True)])
+    each = found.select(F.explode("more").alias("c")).select("c.*")
+    counted = [(r["rank"], tuple(r[n] for n in LABELERS), float(r["count"])) for r in sorted(each.groupBy("rank", *LABELERS).count().collect())]
+    _, _, beliefs = expectation_maximisation(counted)
+    belief = each.groupBy(*FEATURES, *LABELERS).count()
+    if counted:
+        sure = docs.sparkSession.createDataFrame([(kind, *votes, b) for (kind, votes, _), b in zip(counted, beliefs, strict=True)], ", ".join(f"{c} int" for c in ("rank", *LABELERS)) + ", belief double")
+        belief = belief.join(F.broadcast(sure), ["rank", *LABELERS])  # a row for each pattern of votes
+    else:
+        belief = belief.withColumn("belief", F.lit(PRIOR))
+    learned = belief.groupBy(*FEATURES).agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("belief")).alias("hits")).collect()
+    weights = train([([(f, r[f]) for f in FEATURES], r["hits"] / r["n"], float(r["n"])) for r in sorted(learned)])
 
     def chosen(c: Column) -> Column:
         z = F.lit(weights[None])
-        for name in ("rank", "size", *LABELERS):
+        for name in FEATURES:
             for f, w in sorted((f, w) for f, w in weights.items() if f and f[0] == name):
                 z = z + F.when(c[name] == f[1], w).otherwise(0.0)
         return z >= math.log(threshold / (1 - threshold))
@@ -235,7 +279,7 @@ def span_list(c: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """doc_id, n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans, and n_spans, how many these are."""
     found = find_pii(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(k))).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(span_list("base"), 256).alias("base_sha256"), span_list("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -158,12 +158,13 @@ ORACLE_SQL = {
         SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(reach.y) AS component_id, w.doc_id = min(reach.y) AS kept
         FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach ON reach.x = w.doc_id GROUP BY w.doc_id, n.n
     """,
-    # the test documents hold no candidates beyond the base rules, so all spans are base spans
+    # of the further candidates the test documents hold secrets only, all of which are taken
     "op8_pii": r"""
         WITH kind AS (
             SELECT * FROM (VALUES
                 (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
-                (2, 'card', '[0-9](?:[ -]?[0-9])+'), (3, 'phone', '\+[0-9][ ().0-9-]+[0-9]')) AS v(rank, kind, re)
+                (2, 'card', '[0-9](?:[ -]?[0-9])+'), (3, 'phone', '\+[0-9][ ().0-9-]+[0-9]'),
+                (6, 'secret', '[A-Za-z0-9+/_.-]+={0,2}')) AS v(rank, kind, re)
         ), t AS (
             SELECT doc_id, coalesce(text, '') AS t FROM documents
         ), f AS (
@@ -180,13 +181,15 @@ ORACLE_SQL = {
                 WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(d)), lambda k:
                     CASE WHEN k % 2 = 0 THEN CAST(d[CAST(length(d) - k AS INTEGER)] AS INTEGER)
                          ELSE 2 * CAST(d[CAST(length(d) - k AS INTEGER)] AS INTEGER) - CASE WHEN CAST(d[CAST(length(d) - k AS INTEGER)] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
-                WHEN 'phone' THEN length(d) BETWEEN 9 AND 15 ELSE true END
+                WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+                WHEN 'secret' THEN length(x) >= 20 AND d <> '' AND regexp_matches(x, '[A-Za-z]') ELSE true END
         ), a AS (
             SELECT t.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
                    count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-                   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+                   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4), '') AS base,
+                   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans, count(kind) AS n_spans
             FROM t LEFT JOIN ok ON ok.doc_id = t.doc_id GROUP BY t.doc_id
         )
-        SELECT doc_id, n_email, n_ip, n_card, n_phone, sha256(spans) AS base_sha256, spans FROM a
+        SELECT doc_id, n_email, n_ip, n_card, n_phone, sha256(base) AS base_sha256, spans, n_spans FROM a
     """,
 }
