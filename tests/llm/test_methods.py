@@ -324,10 +324,64 @@ PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1><ul clas
 
 def test_pages_without_article_elements():
     lines = html_text.main_text(PAGE).split("\n")
-    assert lines[-3].startswith("The house") and lines[-2] == "Short & one." and lines[-1].startswith("Then the man")
+    assert lines[0] == "A headline" and len(lines) == 4 and lines[-3].startswith("The house") and lines[-2] == "Short & one." and lines[-1].startswith("Then the man")
     assert not re.search("cookies|Home|best of|Subscribe|if|©", "\n".join(lines))
 
 
+def test_block_rules_find_the_articles_of_pages_without_the_element(spark):
+    """The test pages with their article elements made plain ones: the rules alone tell their lines."""
+    kept = lost = extra = 0
+    for r in table(spark, DIR, "pages").collect():
+        known = html_text.main_text(r.html).split("\n")
+        found = html_text.main_text(r.html.replace("article>", "div>")).split("\n")
+        kept, lost, extra = kept + len(set(known) & set(found)), lost + len(set(known) - set(found)), extra + len(set(found) - set(known))
+    assert kept > 0.85 * (kept + lost) and extra < 0.02 * kept
+
+
+def two_passes(kinds):
+    """The two passes over (characters, share of stop words, share of links) of blocks outside any article, written out."""
+    labels = []
+    for n, stop, linked in kinds:
+        if linked > 1 / 3:
+            labels.append("bad")
+        elif n < 70:
+            labels.append("open")
+        elif stop >= 0.25 and n >= 120:
+            labels.append("good")
+        else:
+            labels.append("near" if stop >= 0.15 else "bad")
+    for kind in ("near", "open"):
+        before = list(labels)
+        for i, label in enumerate(before):
+            if label == kind:
+                left = next((x for x in reversed(before[:i]) if x in ("good", "bad")), None)
+                right = next((x for x in before[i + 1 :] if x in ("good", "bad")), None)
+                if kind == "near":
+                    labels[i] = "bad" if {left, right} - {None} == {"bad"} else "good"
+                else:
+                    labels[i] = "good" if left == right == "good" else "bad"
+    return [x == "good" for x in labels]
+
+
+def test_two_passes_against_the_rules_written_out():
+    rng = random.Random(10)
+    for _ in range(300):
+        blocks, kinds = [], []
+        for _ in range(rng.randint(1, 12)):
+            words = ["the" if rng.random() < rng.choice([0.05, 0.2, 0.4]) else "xyzzyx" for _ in range(rng.randint(3, 40))]
+            text = " ".join(words)
+            linked = len(text) if rng.random() < 0.25 else 0
+            blocks.append(html_text.Block(text, linked, False, False))
+            kinds.append((len(text), words.count("the") / len(words), linked / len(text)))
+        assert html_text.second_pass(blocks, [html_text.first_pass(b) for b in blocks]) == two_passes(kinds)
+
+
+def test_link_rich_paragraphs_of_an_article_stay():
+    text = "It was <a href=x>the largest of the houses</a> and <a href=y>the one in the middle of town</a> that they all had known since then, and it is there now."
+    shares = "<ul><li><a href=a>Share</a></li><li><a href=b>Print this page</a></li></ul>"
+    assert html_text.main_text(f"<article><p>{text}</p>{shares}</article>") == re.sub("<[^>]*>", "", text)
+
+
 @pytest.mark.parametrize("broken", ["<p>a<", "<<<", "<p", "<!-- x", "<script>", "<a href='", "</p></p>", "&#xfffffff; &bogus;", "<p>x</article></main>"])
 def test_broken_pages_do_not_fail(broken):
     assert isinstance(html_text.main_text(broken), str)

@@ -34,6 +34,7 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id or role of an element that stands beside the article.
 _BESIDE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|alert|newsletter|subscribe|signup|login|comments?|commentlist|disqus|respond|share|sharing|social|related|recommended|popup|modal|search|widget|pagination|pager)(?=$|[\s_-])",
@@ -46,8 +47,9 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 
-#: Share of linked characters over which a block is boilerplate.
-LINKS = 1 / 3
+#: Share of linked characters over which a block is boilerplate, and the same within an article, whose paragraphs may
+#: hold many references.
+LINKS, ARTICLE_LINKS = 1 / 3, 0.8
 #: Characters under which a block is too short to tell, and from which a block with stop words is text.
 SHORT, LONG = 70, 120
 #: Shares of stop words.
@@ -59,9 +61,10 @@ GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
 
 
 class Block:
-    __slots__ = ("article", "beside", "linked", "text", "wrapped")
+    __slots__ = ("article", "beside", "heading", "linked", "text", "wrapped")
 
-    def __init__(self, text: str, linked: int, beside: bool, article: bool, wrapped: bool = False):
+    def __init__(self, text: str, linked: int, beside: bool, article: bool, wrapped: bool = False, heading: bool = False):
+        self.heading = heading
         self.text, self.linked, self.beside, self.article, self.wrapped = text, linked, beside or wrapped, article, wrapped and not beside
 
 
@@ -70,7 +73,7 @@ def blocks(page: str) -> Iterator[Block]:
     # element, beside the article by its markup, by names in its classes, by such names around its article only, inside one
     stack: list[tuple[str, bool, bool, bool, bool]] = []
     parts: list[tuple[str, bool]] = []
-    by_markup = by_name = wrapped = article = own_beside = False
+    by_markup = by_name = wrapped = article = own_beside = heading = False
     links = at = 0
 
     def flush() -> Iterator[Block]:
@@ -79,7 +82,7 @@ def blocks(page: str) -> Iterator[Block]:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
                 linked = sum(len(" ".join(html.unescape(t).split())) for t, in_link in parts if in_link)
-                yield Block(text, linked, by_markup or by_name or own_beside, article, wrapped)
+                yield Block(text, linked, by_markup or by_name or own_beside, article, wrapped, heading)
             parts.clear()
 
     unclosed: set[str] = set()  # elements of RAW that no end tag follows any more
@@ -116,7 +119,7 @@ def blocks(page: str) -> Iterator[Block]:
                 parts.append((" ", False))
             continue
         yield from flush()
-        own_beside = False
+        own_beside = heading = False
         links = 0
         if closing:
             if any(tag == s[0] for s in stack):
@@ -124,7 +127,8 @@ def blocks(page: str) -> Iterator[Block]:
                     pass
         elif tag in VOID:
             continue
-        elif tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "td", "th", "tr"):
+        elif tag in HEADINGS or tag in ("p", "li", "dt", "dd", "td", "th", "tr"):
+            heading = tag in HEADINGS
             own_beside = _named_beside(attributes)  # these may end without an end tag: they hold until the next block
             continue
         else:
@@ -158,7 +162,7 @@ def _named_beside(attributes: str) -> bool:
 
 
 def _boilerplate(b: Block) -> bool:
-    return b.beside or b.linked > LINKS * len(b.text)
+    return b.beside or b.linked > (ARTICLE_LINKS if b.article else LINKS) * len(b.text)
 
 
 def _stop_share(b: Block) -> float:
@@ -167,27 +171,28 @@ def _stop_share(b: Block) -> float:
 
 
 def first_pass(b: Block, listed: bool = True) -> str:
-    """Good, bad, nearly good, or open. Length decides where the page is in no language whose stop words are listed."""
+    """Good, bad, nearly good, or open. Length decides where the page is in no language whose stop words are listed.
+
+    The same rules hold inside an article, but that a long block there is not bad for want of stop words: it is nearly good.
+    """
     if _boilerplate(b):
         return BAD
-    if b.article:
-        return GOOD if len(b.text) >= SHORT else OPEN
     if not listed:
         n = len(b.text) + 2 * len(_DENSE.findall(b.text))
         return GOOD if n >= LONG else NEAR if n >= SHORT else OPEN
     if len(b.text) < SHORT:
         return OPEN
     stop = _stop_share(b)
-    if stop >= MANY:
-        return GOOD if len(b.text) >= LONG else NEAR
-    return NEAR if stop >= FEW else BAD
+    if stop >= MANY and len(b.text) >= LONG:
+        return GOOD
+    return NEAR if stop >= FEW or b.article else BAD
 
 
 def in_listed_language(found: list[Block]) -> bool:
     """Whether at least half of the characters that stop words would decide on are in blocks that have some."""
     some = few = 0
     for b in found:
-        if not b.article and not _boilerplate(b):
+        if not _boilerplate(b):
             if len(b.text) >= SHORT and _stop_share(b) >= FEW:
                 some += len(b.text)
             elif len(b.text) >= SHORT or _DENSE.search(b.text):
@@ -198,9 +203,10 @@ def in_listed_language(found: list[Block]) -> bool:
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Whether each block is text. Nearly good, then open ones take after the nearest good or bad ones.
 
-    Inside an article only the article's blocks count, and with none decided, or undecided between two, a block of it
-    is text. Elsewhere a nearly good block is text unless both its neighbours are bad, and an open one if both are
-    good. What stands beside the article by its markup is no neighbour there: it says nothing of the text around it.
+    Inside an article only the article's blocks count: a nearly good block is text unless both its neighbours are bad,
+    and an open one if one of them is good or none is decided. Elsewhere a nearly good block is text unless both are bad, or
+    one where there is no other, and an open one if both are good, or, of a heading, the one after it. What stands beside the article by its markup is no
+    neighbour there: it says nothing of the text around it.
     """
     labels = list(labels)
     for kind in (NEAR, OPEN):
@@ -208,11 +214,11 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
         for i in [i for i, label in enumerate(labels) if label == kind]:
             sides = {before[i], after[i]} - {None}
             if found[i].article:
-                good = GOOD in sides or not sides
+                good = not before[i] == after[i] == BAD if kind == NEAR else GOOD in sides or not sides
             elif kind == NEAR:
                 good = sides != {BAD}
             else:
-                good = before[i] == after[i] == GOOD
+                good = after[i] == GOOD and (found[i].heading or before[i] == GOOD)
             labels[i] = GOOD if good else BAD
     return [label == GOOD for label in labels]
 
@@ -245,8 +251,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars (code points).
 
-    Null html counts as empty; a page without text gives an empty one. Repeated rows are answered each; other columns
-    are not looked at.
+    Null html counts as empty; a page without text gives an empty one; long and malformed pages are read to their end.
+    Repeated rows are answered each; no rows give no rows; other columns are not looked at.
     """
 
     def run(batches):
