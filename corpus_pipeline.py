@@ -10,22 +10,30 @@ from tidelog.llm.queries import table, tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that the co-trained classifier rejects; all of them where the labels allow no classifier."""
     return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with equal texts, that with the smallest doc_id; null text counts as empty."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles of five words and a similarity of 0.8, that with the smallest doc_id.
+
+    Documents without words or with a null doc_id are linked with nothing and stay.
+    """
     return near_dedup.drop_near_copies(docs, words=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold an item of the benchmark, or a window of one; without items all stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all docs, one row each: see packing.pack; null and empty texts give the end token alone."""
     return packing.pack(docs, tokenizer())
 
 
@@ -42,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that all stages keep. Each stage is written as Parquet and reread as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

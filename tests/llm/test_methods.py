@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import zlib
 from array import array
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, graph, html_text, langid, near_dedup, packing, pii, quality
 from tidelog.llm.common import Workspace
@@ -94,6 +96,34 @@ def test_words_give_the_ids_of_whole_texts():
         assert array("I", ids).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_packing_query_against_plain_encoding(spark):
+    """Every piece of the whole query: place, length, checksum and token count from encoding each text as it is."""
+    encoder = packing.Encoder(tokenizer()).tokenizer
+    pieces, sequences = {}, set()
+    for r in packing.pack(table(spark, "/root/testdata/sf0.001", "documents"), tokenizer()).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        assert r.sequence_id not in sequences and r.offset == 0
+        sequences.add(r.sequence_id)
+    docs = table(spark, "/root/testdata/sf0.001", "documents").collect()
+    assert pieces.keys() == {d.doc_id for d in docs}
+    for d in docs:
+        ids = [*encoder.encode(d.text or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for r in sorted(pieces[d.doc_id], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(array("I", ids[at : at + r.length]).tobytes()))
+            at += r.length
+        assert at == len(ids)
+
+
+def test_buckets_hold_sequences_of_one_length(spark, tmp_path):
+    packed = packing.pack(table(spark, "/root/testdata/sf0.001", "documents"), tokenizer(), with_ids=True)
+    packing.write_buckets(packed, f"file://{tmp_path}/buckets")
+    read = spark.read.parquet(f"file://{tmp_path}/buckets")
+    lengths = {r.bucket: r.lengths for r in read.groupBy("bucket").agg(F.collect_set(F.size("ids")).alias("lengths")).collect()}
+    assert lengths and all(found == [1 << k] for k, found in lengths.items())
+    assert read.agg(F.sum("length")).first()[0] == packed.agg(F.sum("length")).first()[0]
+
+
 def test_piece_lengths():
     for n in range(1, 4000):
         own = packing.piece_lengths(n)

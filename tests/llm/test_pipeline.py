@@ -59,3 +59,40 @@ def test_stages(spark):
 
 def test_run_is_the_last_stage(spark):
     assert set(corpus_pipeline.run(spark, DIR).columns) >= {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+
+
+PROSE = "The house of the man was in the middle of the town and it was the largest of all the houses that they had in number"
+
+
+def folder(spark, path, rows, labels, items):
+    """A folder of tables as run() reads them, documents with further columns whose names clash with the operators' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id int, kept string, _text int, component_id int, h1 string"
+    spark.createDataFrame([(i, t, "en" if i else None, None if i == 3 else "src", len(t or ""), 1, "k", 2, 3, "h") for i, t in rows], schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_edges_through_run(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and tables without rows: without labels all is judged good."""
+    item = "what is the name of the largest house in the middle of the town of the man"
+    long = "word " * 60_000
+    rows = [(1, f"{PROSE} 1 {item}"), (2, None), (3, ""), (4, f"{PROSE} 4."), (4, f"{PROSE} 4."), (5, f"{PROSE}  4."), (None, f"{PROSE} 4."), (6, long), (7, long + "x"), (8, "one two"), (None, "other words")]
+    path = folder(spark, f"file://{tmp_path}/a", rows, [], [(1, item), (2, None), (3, "")])
+    packed = corpus_pipeline.run(spark, path).collect()
+    total = {}
+    for r in packed:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    # 3 and 5 are copies of 2 and 4, 7 is a near copy of 6 (the same shingles but for the last), 1 holds an item
+    assert sorted(total, key=lambda i: (i is None, i)) == [2, 4, 6, 8, None]
+    assert total[2] == 1 and all(r.doc_tokens == total[r.doc_id] for r in packed)
+
+    empty = folder(spark, f"file://{tmp_path}/b", [], [], [])
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_a_fitted_classifier_decides_in_run(spark, tmp_path):
+    rows = [(i, f"{PROSE} {i} " + " ".join(f"x{i}y{k}" for k in range(60)) if i % 2 else f"BUY!!! $$$ {i} @@@ >>> ### {i} " + " ".join(f"Z{i}Q{k}!!" for k in range(60))) for i in range(1, 121)]
+    path = folder(spark, f"file://{tmp_path}/c", rows, [(i, i % 2, 0) for i in range(1, 101)], [(1, "nothing of this is there at all, not one word of it is")])
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, path).select("doc_id").distinct().collect()}
+    assert {i for i in range(101, 121) if i % 2} <= kept and not {i for i in range(101, 121) if i % 2 == 0} & kept

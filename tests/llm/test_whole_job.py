@@ -113,3 +113,56 @@ def test_alignment_on_diagonals_over_4096():
     item, found = "abcdefghij" * 6, decontaminate.semi_global
     region = "z" * 5000 + item[:30] + "##" + item[30:]
     assert found(decontaminate.codes(item), decontaminate.codes(region), 0, 6000, 4) == (2, 5000, 5062)
+
+
+def distances(item, text):
+    """For each end in text the least edits of a passage that ends there: the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row = row, [i]
+        for j, x in enumerate(text, 1):
+            row.append(min(last[j - 1] + (c != x), last[j] + 1, row[j - 1] + 1))
+    return row
+
+
+def test_edits_and_places_against_the_plain_table():
+    rng = random.Random(13)
+    items = [(i, words_of(20 + i, 5 + 3 * i)) for i in range(12)]
+    index = decontaminate.Index(items)
+    seen = 0
+    for _ in range(60):
+        i, item = rng.choice(index.items)
+        own = list(item)
+        for _ in range(rng.randint(0, decontaminate.edit_budget(len(item)) + 2)):
+            k = rng.randrange(len(own))
+            own[k : k + 1] = rng.choice([[], ["q"], [own[k], "z"]])
+        text = decontaminate.normalise(words_of(rng.random(), 20) + " " + "".join(own) + " " + words_of(rng.random(), 20))
+        table = distances(item, text)
+        found = {x[1]: x[2:] for x in index.search([text])}
+        if min(table) <= decontaminate.edit_budget(len(item)):
+            edits, start, end = found[i]
+            assert edits == min(table) == table[end] == distances(item, text[start:end])[-1] == distances(text[start:end], item)[-1]
+            seen += 1
+        else:
+            assert i not in found
+    assert seen > 30
+
+
+def test_common_grams_are_met_in_parts(monkeypatch):
+    """Items and texts full of the same q-grams: the same result however few meetings are held at a time."""
+    items = [(i, "the same words again and again " * 3 + f"item {i} " + words_of(i, 8)) for i in range(20)]
+    texts = [words_of(50, 30), items[3][1] + " x", "the same words again and again " * 40, items[7][1] + " " + items[8][1], ""]
+    whole = sorted(decontaminate.Index(items).search(texts, parts=True))
+    assert {(t, i) for t, i, e, *_ in whole if e == 0} >= {(1, 3), (3, 7), (3, 8)}
+    monkeypatch.setattr(decontaminate, "MEETINGS", 50)
+    assert sorted(decontaminate.Index(items).search(texts, parts=True)) == whole
+
+
+def test_benchmarks_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    items = [(i, words_of(i, 30)) for i in range(8)]
+    docs = spark.createDataFrame([(i, f"{words_of(90 + i, 20)} {items[i][1] if i < 8 else ''}", i) for i in range(12)], "doc_id long, text string, _text int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontaminate.item_blocks(bench))) > 2
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [8, 9, 10, 11]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_items(docs, bench).collect()} == {(i, i) for i in range(8)}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, materialize
 
 Q = 10
 #: Edits that a passage may have, as a share of the item's characters.
@@ -30,8 +30,9 @@ LEAST_CHARS = 40
 WINDOW, WINDOW_CHARS, WINDOW_STEPS = 0.4, 160, 4
 #: Characters of items that workers hold at a time.
 BLOCK_CHARS = 8_000_000
-#: Documents that a worker searches at a time.
-SLICE = 128
+#: Documents that a worker searches at a time, and meetings of q-grams (place in a document by place in an item) that it
+#: holds at a time: documents and items are halved until there are no more, or one of each is left.
+SLICE, MEETINGS = 128, 8_000_000
 
 #: Letters of scripts that put no space between words; each is a word by itself.
 _DENSE = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -112,6 +113,7 @@ class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        self.halves: tuple[Index, Index] | None = None
         plain = [(i, normalise(t)) for i, t in items]
         self.items = [(i, t) for i, t in plain if len(t) >= LEAST_CHARS]
         self.short: dict[str, dict[int, dict[str, list[int]]]] = {}  # by first word, length and text
@@ -147,6 +149,21 @@ class Index:
         """
         plain = [normalise(t) for t in texts]
         yield from self._search_short(plain)
+        yield from self._search_long(plain, parts)
+
+    def _halved(self, plain: list[str], parts: bool) -> Iterator[tuple[int, int, int, int, int]]:
+        if len(plain) > 1:
+            half = len(plain) // 2
+            yield from self._search_long(plain[:half], parts)
+            yield from ((t + half, *rest) for t, *rest in self._search_long(plain[half:], parts))
+            return
+        if self.halves is None:
+            half = len(self.items) // 2
+            self.halves = Index(self.items[:half]), Index(self.items[half:])
+        for index in self.halves:
+            yield from index._search_long(plain, parts)
+
+    def _search_long(self, plain: list[str], parts: bool) -> Iterator[tuple[int, int, int, int, int]]:
         own = [codes(t) for t in plain]
         starts = np.cumsum([0] + [len(c) + Q for c in own])
         if not len(self.hashes) or not any(len(c) for c in own):
@@ -162,6 +179,9 @@ class Index:
         if not len(at):
             return
         n = self.count[slot]
+        if n.sum() > MEETINGS and (len(plain) > 1 or len(self.items) > 1):
+            yield from self._halved(plain, parts)
+            return
         entry = np.repeat(self.first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item, at = self.item[entry], np.repeat(at, n)
         place = self.place[entry]
@@ -259,11 +279,21 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 _indexes: dict[int, Index] = {}
 
 
+def _index(block: list[tuple[int, str]]) -> Index:
+    """The index of a block of items, kept by the worker for its next batches and tasks."""
+    key = hash(tuple(block))
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = Index(block)
+    return _indexes[key]
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, parts: bool = False) -> DataFrame:
     """One row per document and item found in it (with parts: also in part): MATCH_SCHEMA, start and end in the normalised text.
 
-    Null or empty texts and empty items match nothing; a repeated row or item is answered each
-    time; no rows or items give no rows.
+    Of an item's places in a document that with the fewest edits is given, of equally good ones the first. Null or empty
+    texts and empty items match nothing; a repeated row or item is answered each time; texts and items may have any
+    length; no rows or items give no rows; other columns are not looked at.
     """
     spark, result = docs.sparkSession, None
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -271,11 +301,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, parts: bool = False) -> Da
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
-            key = hash(tuple(held.value))
-            if key not in _indexes:
-                _indexes.clear()
-                _indexes[key] = Index(held.value)
-            index = _indexes[key]
+            index = _index(held.value)
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
                     ids, texts = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
@@ -291,7 +317,26 @@ def find_items(docs: DataFrame, benchmark: DataFrame, parts: bool = False) -> Da
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item is found, nor a window of one, with all their columns."""
-    (of,) = fresh(docs, "_id")
-    gone = find_items(docs, benchmark, parts=True).select(F.col("doc_id").alias(of)).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[of]), "left_anti")
+    """The rows of docs in which no item is found, nor a window of one, with all their columns.
+
+    Rows are dropped where they are searched; nothing is shuffled. Between blocks of a large benchmark the rows that are left
+    are written, so that a worker holds one block.
+    """
+    spark, n, schema = docs.sparkSession, len(docs.columns), docs.schema
+    for k, block in enumerate(item_blocks(benchmark)):
+        if k:
+            docs = materialize(docs, "clean")
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches, held=held):
+            index = _index(held.value)
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[t for t, *_ in index.search([x or "" for x in part.column(n).to_pylist()], parts=True)]] = False
+                    own = pa.RecordBatch.from_arrays(part.columns[:n], schema=pa.schema(list(part.schema)[:n]))
+                    yield own.filter(pa.array(clean))
+
+        docs = docs.select("*", F.col("text").cast("string").alias(fresh(docs, "_text")[0])).mapInArrow(run, schema)
+    return docs

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, materialize, text_or_empty
+from .common import SPACE, few, fresh, materialize, text_or_empty
 
 COUNTERS = 1024
 #: Rows in a block that is counted exactly before the first cut (as a power of two).
@@ -87,12 +87,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns; of rows that repeat id and text one.
 
-    Texts are shuffled once, by a key of id and digest: the join with what goes and the look for repeats share it.
+    What goes is named by a key of id and digest, and what stays more than once too. These keys are written before they
+    meet the texts again: texts are shuffled only if the keys are too many to be broadcast, and to find one of repeated rows.
     """
     (key,) = fresh(docs, "_key")
     of = lambda i, sha: F.unhex(F.sha2(F.concat(i.isNull().cast("string"), F.coalesce(i.cast("string"), F.lit("")), sha), 256))
     settled = exact_dedup(docs, id_col, text_col)
-    keys = settled.groupBy(of(F.col(id_col), F.col("text_sha256")).alias(key)).agg(F.max("kept").alias("stays"))
-    gone = materialize(keys.filter("NOT stays").select(key), "copies")
-    left = docs.withColumn(key, of(F.col(id_col), text_digest(text_col))).join(gone, key, "left_anti")
-    return left.dropDuplicates([key]).drop(key)
+    keys = settled.groupBy(of(F.col(id_col), F.col("text_sha256")).alias(key)).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    odd = materialize(keys.filter("NOT stays OR n > 1").select(key, "stays"), "copies")
+    marked = docs.withColumn(key, of(F.col(id_col), text_digest(text_col)))
+    left = marked.join(few(odd.select(key)), key, "left_anti")
+    again = odd.filter("stays").select(key)
+    if not again.isEmpty():
+        left = left.unionByName(marked.join(few(again), key, "left_semi").dropDuplicates([key]))
+    return left.drop(key)
