@@ -42,9 +42,25 @@ def resolved(df):
     return {bytes(r.key): bytes(r.value) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_resolve_is_the_model(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(0, 4096), (1, 4), (2, 3), (3, 1)])
+def test_resolve_is_the_model(spark, seed, block):
+    """Values of some bytes, in one block and in many."""
     rows = random_messages(seed, 150, bits=True)
+    assert resolved(L.resolve(spark.createDataFrame(rows, L.LOG_SCHEMA), block)) == model(rows)
+
+
+def test_large_values_of_many_messages(spark):
+    """Values of up to the largest size: inserts of 512 KiB, upserts of some bytes, of several blocks and far behind the end."""
+    rng, rows = random.Random(1), []
+    data = lambda n: bytearray(rng.randbytes(n))
+    for seq in range(60):
+        key = bytearray([1 + seq % 3])
+        if seq < 2 or seq == 40:
+            rows.append((key, seq, 0, "I", 0, data(L.MOST_BYTES), None, None))
+        else:
+            n = rng.choice([1, 7, 4096, 20_000, 131_072])
+            rows.append((key, seq, 0, "U", rng.choice([0, 4096, 8192, rng.randrange(L.MOST_BYTES - n)]), data(n), None, None))
+    rows.append((bytearray(b"z"), 61, 0, "U", 400_000, data(5), None, None))
     assert resolved(L.resolve(spark.createDataFrame(rows, L.LOG_SCHEMA))) == model(rows)
 
 

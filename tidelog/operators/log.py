@@ -4,7 +4,9 @@ A log row is (key BINARY, seq BIGINT, gen BIGINT, op, offset INT, data BINARY, n
 deletes, U writes data over the value at a byte offset, B sets nbits bits from a bit offset. seq is unique for a key.
 
 The value of a key follows from its last insert or delete and what came later: each byte is that of the newest message
-that covers it. That is two aggregates with partial forms, so no key's messages are ever folded one by one in a list.
+that covers it. Messages are cut at the bounds of blocks of bytes. Pieces that cover a block stay whole, and the newest one
+counts; what covers blocks in part is taken apart into bytes. Both are aggregates with partial forms, so no key's messages
+are gathered in a list, however many there are, and large messages stay whole.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from ..functions import bytes as by
 
 #: Largest value of one message.
 MOST_BYTES = 524_288
+#: Bytes of a block in which messages are laid over each other.
+BLOCK = 4096
 
 LOG_SCHEMA = "key binary, seq bigint, gen bigint, op string, offset int, data binary, nbits int, bit boolean"
 
@@ -31,54 +35,109 @@ def checked(log: DataFrame) -> DataFrame:
 
 
 def overwrites(log: DataFrame) -> DataFrame:
-    """(key, s0): the seq of each key's last insert or delete, null if it has none."""
-    return log.groupBy("key").agg(F.max(F.when(F.col("op").isin("I", "D"), F.col("seq"))).alias("s0"))
+    """(key, s0, plain): the seq of each key's last insert or delete, null if it has none, and whether an insert is its newest message."""
+    whole = F.when(F.col("op").isin("I", "D"), F.col("seq"))
+    inserted = F.max(F.when(F.col("op") == "I", F.col("seq")))
+    return log.groupBy("key").agg(F.max(whole).alias("s0"), (F.coalesce(inserted, F.lit(-(2**63))) == F.max("seq")).alias("plain"))
 
 
-def live_messages(log: DataFrame) -> DataFrame:
-    """The messages that still count: each key's last insert and the upserts after its last insert or delete."""
+def _live(log: DataFrame) -> DataFrame:
     s0 = overwrites(log).withColumnRenamed("key", "_key")
-    kept = log.join(s0, log["key"] == s0["_key"]).filter((F.col("op") != "D") & (F.col("seq") >= F.coalesce("s0", F.lit(-(2**63)))))
-    return kept.drop("_key", "s0")
+    return log.join(s0, log["key"] == s0["_key"]).filter((F.col("op") != "D") & (F.col("seq") >= F.coalesce("s0", F.lit(-(2**63)))))
 
 
-def _assemble(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(key, value) of (key, pos, byte as two hex digits), zero where a key has no byte below its size."""
-    at = F.array_sort(F.collect_list(F.struct("pos", "byte")))
-    filled = lambda x, i: F.concat(F.repeat(F.lit("00"), (x["pos"] - F.when(i == 0, F.lit(-1)).otherwise(F.try_element_at("at", F.greatest(i, F.lit(1)))["pos"]) - 1).cast("int")), x["byte"])
-    rows = pieces.groupBy("key").agg(at.alias("at")).withColumnRenamed("key", "_key")
-    joined = sizes.join(rows, sizes["key"] == rows["_key"], "left")
-    text = F.coalesce(F.array_join(F.transform("at", filled), ""), F.lit(""))
-    return joined.select("key", F.unhex(F.rpad(text, (2 * F.col("size")).cast("int"), "0")).alias("value"))
+def live_messages(log: DataFrame) -> DataFrame:
+    """The messages that still count: each key's last insert and the upserts after its last insert or delete."""
+    return _live(log).drop("_key", "s0", "plain")
 
 
-def resolve(log: DataFrame) -> DataFrame:
-    """(key, value): the current value of each key that has one.
+def _range(low: Column, high: Column) -> Column:
+    """The numbers of [low, high)."""
+    return F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
 
-    Keys whose live messages are one insert need no bytes taken apart. For the others each byte goes to its newest
-    message; keys with bit upserts do so by bits.
-    """
-    live = live_messages(log)
-    end = F.when(F.col("op") == "B", F.ceil((F.col("offset") + F.col("nbits")) / 8)).otherwise(F.col("offset") + F.length("data"))
-    state = live.groupBy("key").agg(
-        F.count("*").alias("n"), F.max(F.col("op") == "I").alias("based"), F.max(F.col("op") == "B").alias("bits"), F.max(end).cast("int").alias("size"), F.max(F.when(F.col("op") == "I", F.col("data"))).alias("whole")
-    )
-    simple = state.filter((F.col("n") == 1) & F.col("based")).select("key", F.col("whole").alias("value"))
-    mixed = state.filter(~((F.col("n") == 1) & F.col("based"))).select(F.col("key").alias("_key"), "size", "bits")
-    rows = live.join(mixed, live["key"] == mixed["_key"]).drop("_key")
 
-    places = F.explode(F.sequence(F.lit(0), F.length("data") - 1)).alias("p")
-    whole = rows.filter(~F.col("bits") & (F.length("data") > 0)).select("key", "seq", "offset", "data", places)
-    by_byte = whole.groupBy("key", (F.col("offset") + F.col("p")).alias("pos")).agg(F.max_by(F.hex(F.substring(F.col("data"), F.col("p") + 1, F.lit(1))), "seq").alias("byte"))
+def _whole_blocks(live: DataFrame, block: int) -> DataFrame:
+    """(key, block, seq, bytes): of pieces that cover a block the newest; the value of a key that is one insert as block -1."""
+    end = F.col("offset") + F.length("data")
+    cut = lambda b: F.struct(b.alias("block"), F.substring(F.col("data"), b * block - F.col("offset") + 1, F.lit(block)).alias("bytes"))
+    pieces = F.transform(_range(F.ceil(F.col("offset") / block).cast("int"), F.floor(end / block).cast("int")), cut)
+    own = F.array(F.struct(F.lit(-1).alias("block"), F.col("data").alias("bytes")))
+    rows = live.filter("op <> 'B'").select("key", "seq", F.explode(F.when(F.col("plain"), own).otherwise(pieces)).alias("c"))
+    return rows.groupBy("key", "c.block").agg(F.max_by("c.bytes", "seq").alias("bytes"), F.max("seq").alias("seq"))
 
-    bits = rows.filter("bits")
-    from_bytes = bits.filter((F.col("op") != "B") & (F.length("data") > 0)).select("key", "seq", "offset", "data", places).select("key", "seq", (8 * (F.col("offset") + F.col("p"))).alias("start"), F.conv(F.hex(F.substring(F.col("data"), F.col("p") + 1, F.lit(1))), 16, 10).cast("int").alias("byte"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select("key", "seq", (F.col("start") + F.col("k")).alias("pos"), F.getbit("byte", F.col("k")).cast("int").alias("on"))
-    from_bits = bits.filter((F.col("op") == "B") & (F.col("nbits") > 0)).select("key", "seq", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("nbits") - 1)).alias("pos"), F.col("bit").cast("int").alias("on"))
-    newest = from_bytes.unionByName(from_bits).groupBy("key", "pos").agg(F.max_by("on", "seq").alias("on"))
-    by_bits = newest.groupBy("key", F.shiftright("pos", 3).alias("pos")).agg(F.lpad(F.hex(F.sum(F.col("on") * F.call_function("shiftleft", F.lit(1), F.col("pos") % 8))), 2, "0").alias("byte"))
 
-    sizes = mixed.select(F.col("_key").alias("key"), "size")
-    return simple.unionByName(_assemble(by_byte.unionByName(by_bits), sizes))
+def _places(live: DataFrame, block: int) -> DataFrame:
+    """(key, block, places, end): for each byte that a message writes without its whole block, the newest of these.
+
+    A place has `pos`, `whole` (seq * 256 + byte of the newest write of the byte) and for each bit `b0`.. (seq * 2 + bit of the
+    newest message that wrote this bit alone). end is how far messages reach, those that write nothing included.
+    """
+    offset, size, nbits = F.col("offset"), F.length("data"), F.coalesce("nbits", F.lit(0))
+    end = F.when(F.col("op") == "B", F.ceil((offset + nbits) / 8)).otherwise(offset + size).cast("int")
+    head, tail = F.ceil(offset / block).cast("int") * block, F.floor((offset + size) / block).cast("int") * block
+    split = head < tail
+    at = F.concat(_range(offset, F.when(split, head).otherwise(offset + size)), _range(F.when(split, tail).otherwise(offset + size), offset + size))
+    # only places and bytes leave the generator, never the data that they are taken from
+    number = lambda p: F.conv(F.hex(F.substring(F.col("data"), p - offset + 1, F.lit(1))), 16, 10).cast("int")
+    cell = lambda pos, byte, mask: F.struct(pos.alias("pos"), byte.alias("byte"), mask.alias("mask"))
+    of_bytes = F.transform(at, lambda p: cell(p, number(p), F.lit(255)))
+    ones = lambda n: F.call_function("shiftleft", F.lit(1), n) - 1
+    low, high = (lambda p: F.greatest(offset - 8 * p, F.lit(0))), (lambda p: F.least(offset + nbits - 8 * p, F.lit(8)))
+    mask = lambda p: ones(high(p)) - ones(low(p))
+    of_bits = F.transform(_range(F.floor(offset / 8).cast("int"), end), lambda p: cell(p, F.when(F.col("bit"), mask(p)).otherwise(0), mask(p)))
+    cells = F.when(F.col("op") == "B", F.when(nbits > 0, of_bits).otherwise(F.array().cast("array<struct<pos:int,byte:int,mask:int>>"))).otherwise(of_bytes)
+    nothing = F.array(cell(F.greatest(end - 1, F.lit(0)), F.lit(0), F.lit(0)))
+    rows = live.filter("NOT plain").select("key", "seq", end.alias("end"), F.explode(F.when(F.size(cells) == 0, nothing).otherwise(cells)).alias("c")).select("key", "seq", "end", "c.*")
+    bit = lambda k: F.max(F.when(F.col("mask").between(1, 254) & (F.getbit("mask", F.lit(k)) == 1), 2 * F.col("seq") + F.getbit("byte", F.lit(k)))).alias(f"b{k}")
+    newest = rows.groupBy("key", "pos").agg(F.max(F.when(F.col("mask") == 255, 256 * F.col("seq") + F.col("byte"))).alias("whole"), *map(bit, range(8)), F.max("end").alias("end"))
+    place = F.struct((F.col("pos") % block).alias("pos"), "whole", *[f"b{k}" for k in range(8)])
+    return newest.groupBy("key", F.floor(F.col("pos") / block).cast("int").alias("block")).agg(F.array_sort(F.collect_list(place)).alias("places"), F.max("end").alias("end"))
+
+
+def _byte(x: Column, base: Column) -> Column:
+    """The byte of a place as two hex digits: bits count if they are newer than the byte, which is newer than the base's (seq, number)."""
+    seq, under = base
+    newest = F.greatest(F.coalesce(x["whole"], F.lit(-(2**62))), 256 * seq + under)
+
+    def bit(k: int) -> Column:
+        b = x[f"b{k}"]
+        return F.when(F.shiftright(b, 1) > F.shiftright(newest, 8), b).otherwise(F.shiftright(newest, k)).bitwiseAND(F.lit(1)) * 2**k
+
+    return F.lpad(F.hex(sum((bit(k) for k in range(1, 8)), bit(0)).cast("long")), 2, "0")
+
+
+def _written_over(blocks: DataFrame) -> DataFrame:
+    """blocks (key, block, seq, bytes, places, end) with `digits`: a block's bytes with its places written over them, zero between them, in hex."""
+    last = F.coalesce(F.element_at("places", -1)["pos"] + 1, F.lit(0))
+    reach = F.greatest(F.coalesce(F.length("bytes"), F.lit(0)), last)
+    # a column of its own: within the loop over places it would be put together again for each of them
+    blocks = blocks.withColumn("under", F.rpad(F.hex(F.coalesce("bytes", F.unhex(F.lit("")))), (2 * reach).cast("int"), "0")).withColumn("seq", F.coalesce("seq", F.lit(-(2**50))))
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.try_element_at("places", F.greatest(i, F.lit(1)))["pos"])
+
+    def filled(x: Column, i: Column) -> Column:
+        start = before(i) + 1
+        byte = _byte(x, (F.col("seq"), F.conv(F.substring("under", 2 * x["pos"] + 1, F.lit(2)), 16, 10).cast("long")))
+        return F.when(start == x["pos"], byte).otherwise(F.concat(F.substring("under", 2 * start + 1, 2 * (x["pos"] - start)), byte))
+
+    whole = F.concat(F.array_join(F.transform("places", filled), ""), F.substring("under", 2 * last + 1, F.length("under")))
+    return blocks.withColumn("digits", F.when(F.col("places").isNull(), F.col("under")).otherwise(whole))
+
+
+def resolve(log: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, value): the current value of each key that has one, put together from blocks of so many bytes."""
+    live = _live(log)
+    blocks = _whole_blocks(live, block).join(_places(live, block), ["key", "block"], "full_outer")
+    reach = F.greatest(F.coalesce("end", F.lit(0)), F.when(F.col("block") >= 0, F.col("block") * block).otherwise(0) + F.coalesce(F.length("bytes"), F.lit(0)))
+    part = F.struct("block", F.col("digits").alias("bytes"))
+    order = _written_over(blocks.withColumn("reach", reach)).groupBy("key").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("reach").cast("int").alias("size"))
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.try_element_at("parts", F.greatest(i, F.lit(1)))["block"])
+
+    def placed(x: Column, i: Column) -> Column:
+        gap = F.repeat(F.lit("00"), (F.greatest(x["block"] - before(i) - 1, F.lit(0)) * block).cast("int"))
+        return F.concat(gap, F.when(i + 1 == F.size("parts"), x["bytes"]).otherwise(F.rpad(x["bytes"], 2 * block, "0")))
+
+    text = F.array_join(F.transform("parts", placed), "")
+    return order.select("key", F.unhex(F.rpad(text, (2 * F.col("size")).cast("int"), "0")).alias("value"))
 
 
 def resolve_by_fold(log: DataFrame) -> DataFrame:
@@ -125,10 +184,10 @@ def range_delete(log: DataFrame, low: bytes | Column, high: bytes | Column, seq:
 
 def merge_scan(base: DataFrame, log: DataFrame) -> DataFrame:
     """(key, value) of a resolved base with later messages over it: keys without messages are not touched."""
-    touched = log.select("key").distinct()
+    # a base value is its key's oldest insert: a key without messages has only that, and resolves to it as it is
     null = lambda t: F.lit(None).cast(t)
-    under = base.join(touched, "key", "left_semi").select("key", F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("gen"), F.lit("I").alias("op"), F.lit(0).alias("offset"), F.col("value").alias("data"), null("int").alias("nbits"), null("boolean").alias("bit"))
-    return base.join(touched, "key", "left_anti").unionByName(resolve(under.unionByName(log)))
+    under = base.select("key", F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("gen"), F.lit("I").alias("op"), F.lit(0).alias("offset"), F.col("value").alias("data"), null("int").alias("nbits"), null("boolean").alias("bit"))
+    return resolve(under.unionByName(log))
 
 
 def multi_get(values: DataFrame, keys: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import bytes as by
 from ..functions import chunks as C
+from . import log as L
 
 
 def fold_info(messages: DataFrame) -> DataFrame:
@@ -25,11 +28,28 @@ def fold_info(messages: DataFrame) -> DataFrame:
 
 
 def write_chunks(writes: DataFrame, size: int = C.CHUNK) -> DataFrame:
-    """writes (object_id, seq, offset, data) cut at chunk bounds: object_id, chunk_id, seq, begin, data."""
-    parts = F.explode(C.chunk_split(F.col("offset"), F.length("data").cast("long"), size)).alias("c")
-    rows = writes.select("object_id", "seq", "offset", "data", parts)
-    start = F.col("c.chunk_id") * size + F.col("c.begin") - F.col("offset")
-    return rows.select("object_id", "c.chunk_id", "seq", F.col("c.begin").alias("begin"), F.substring(F.col("data"), (start + 1).cast("int"), (F.col("c.end") - F.col("c.begin")).cast("int")).alias("data"))
+    """writes (object_id, seq, offset, data) cut at chunk bounds: object_id, chunk_id, seq, begin, data.
+
+    Data is cut before its pieces become rows, so that no row carries more than its own piece.
+    """
+
+    def piece(c: Column) -> Column:
+        start = c["chunk_id"] * size + c["begin"] - F.col("offset")
+        return F.struct(c["chunk_id"].alias("chunk_id"), c["begin"].alias("begin"), F.substring(F.col("data"), (start + 1).cast("int"), (c["end"] - c["begin"]).cast("int")).alias("data"))
+
+    parts = F.transform(C.chunk_split(F.col("offset"), F.length("data").cast("long"), size), piece)
+    return writes.select("object_id", "seq", F.explode(parts).alias("c")).select("object_id", "c.chunk_id", "seq", "c.begin", "c.data")
+
+
+def apply_writes(writes: DataFrame, size: int = C.CHUNK) -> DataFrame:
+    """(object_id, chunk_id, data): what chunks hold after writes (object_id, seq, offset, data as bytes), newer ones over older.
+
+    A chunk is a key of the message log and a piece of a write an upsert of it.
+    """
+    key = F.concat(by.be_encode(F.col("object_id")), by.be_encode(F.col("chunk_id"), 4))
+    null = lambda t: F.lit(None).cast(t)
+    rows = write_chunks(writes, size).select(key.alias("key"), "seq", F.lit(0).cast("long").alias("gen"), F.lit("U").alias("op"), F.col("begin").cast("int").alias("offset"), "data", null("int").alias("nbits"), null("boolean").alias("bit"))
+    return L.resolve(rows, size).select(by.be_decode(F.substring("key", 1, 8)).alias("object_id"), by.be_decode(F.substring("key", 9, 4)).alias("chunk_id"), F.col("value").alias("data"))
 
 
 def grown_sizes(writes: DataFrame) -> DataFrame:
@@ -38,19 +58,27 @@ def grown_sizes(writes: DataFrame) -> DataFrame:
 
 
 def read_at(objects: DataFrame, chunks: DataFrame, offset: int | Column, length: int | Column, size: int = C.CHUNK, zero: str = "0") -> DataFrame:
-    """(object_id, n, data): `length` characters of each object from `offset`, zero where no chunk is, up to its size.
+    """(object_id, n, data): `length` bytes of each object from `offset`, zero bytes where no chunk is, up to its size.
 
-    objects: object_id, size. chunks: object_id, chunk_id, data. Only the chunks that the range touches are read.
+    objects: object_id, size. chunks: object_id, chunk_id, data. Only the chunks that the range touches are read. Chunks of
+    text are read by characters, with the character `zero` in place of zero bytes.
     """
+    is_bytes = chunks.schema["data"].dataType == T.BinaryType()
+    if isinstance(offset, int) and isinstance(length, int):  # chunks outside the range need not be read at all
+        chunks = chunks.filter(F.col("chunk_id").between(offset // size, (offset + length) // size))
     offset, length = (F.lit(x) if isinstance(x, int) else x for x in (offset, length))
     n = F.greatest(F.least(length, F.col("size") - offset), F.lit(0)).cast("long")
     asked = objects.select("object_id", offset.cast("long").alias("at"), n.alias("n"))
     parts = asked.select("object_id", "n", F.explode_outer(C.chunk_split(F.col("at"), F.col("n"), size)).alias("c"))
     parts = parts.select("object_id", "n", "c.chunk_id", "c.begin", "c.end")
     long = (F.col("end") - F.col("begin")).cast("int")
-    piece = F.rpad(F.substring(F.coalesce("data", F.lit("")), (F.col("begin") + 1).cast("int"), long), long, zero)
+    empty = F.unhex(F.lit("")) if is_bytes else F.lit("")
+    piece = F.substring(F.coalesce("data", empty), (F.col("begin") + 1).cast("int"), long)
+    piece = F.rpad(F.hex(piece), 2 * long, "0") if is_bytes else F.rpad(piece, long, zero)
     found = parts.join(chunks, ["object_id", "chunk_id"], "left")
-    return found.groupBy("object_id", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", piece.alias("piece")))), lambda x: x["piece"]), "").alias("data")).select("object_id", "n", F.coalesce("data", F.lit("")).alias("data"))
+    read = found.groupBy("object_id", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", piece.alias("piece")))), lambda x: x["piece"]), "").alias("data"))
+    whole = F.coalesce("data", F.lit(""))
+    return read.select("object_id", "n", (F.unhex(whole) if is_bytes else whole).alias("data"))
 
 
 def chunk_ranges(chunks: DataFrame, first: int | None = None, last: int | None = None, size: int = C.CHUNK) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as by
 from ..operators import log as L
-from .tables import LOG_SQL, SNAPSHOT, message_log, table, value_sql
+from .tables import LOG_SQL, message_log, table, value_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -32,6 +32,11 @@ def values(spark: SparkSession, d: str) -> DataFrame:
     return L.resolve(message_log(spark, d))
 
 
+def middle(log: DataFrame) -> int:
+    """The last generation of the older half of a log."""
+    return (log.agg(F.max("gen")).first()[0] or 0) // 2
+
+
 def key(n: int):
     return by.be_encode(F.lit(n))
 
@@ -70,7 +75,8 @@ def src_multi_get(spark, d):
 def src_prefix(spark, d):
     # keys of seven bytes in common
     lo, hi = by.prefix_bounds(F.unhex(F.lit("00000000000000")))
-    return shown(L.key_range(values(spark, d), lo, hi).filter(F.substring("key", 8, 1) < F.unhex(F.lit("10"))))
+    log = L.key_range(message_log(spark, d), lo, hi).filter(F.substring("key", 8, 1) < F.unhex(F.lit("10")))
+    return shown(L.resolve(log))
 
 
 @query("SELECT event_id AS seq, printf('%016X', user_id) AS key, printf('%08X', event_id) AS data FROM events WHERE event_type = 'signup'")
@@ -100,13 +106,14 @@ def kv_apply(spark, d):
 def kv_merge(spark, d):
     """Compacting the older half of the log changes no value."""
     log = message_log(spark, d)
-    return shown(L.resolve(L.compact(log.filter("gen <= 4")).unionByName(_deletes(log)).unionByName(log.filter("gen > 4"))))
+    half = middle(log)
+    old = L.as_of(log, half)
+    return shown(L.resolve(L.compact(old).unionByName(_deletes(old)).unionByName(log.filter(F.col("gen") > half))))
 
 
-def _deletes(log: DataFrame) -> DataFrame:
-    """A delete for each key of the older half that has no value left."""
-    old = log.filter("gen <= 4")
-    gone = old.select("key").distinct().join(L.resolve(old).select("key"), "key", "left_anti")
+def _deletes(old: DataFrame) -> DataFrame:
+    """A delete for each key of a log that has no value left."""
+    gone = old.select("key").distinct().join(L.live_messages(old).select("key"), "key", "left_anti")
     null = lambda t: F.lit(None).cast(t)
     return gone.select("key", F.lit(-1).cast("long").alias("seq"), F.lit(0).cast("long").alias("gen"), F.lit("D").alias("op"), F.lit(0).alias("offset"), F.unhex(F.lit("")).alias("data"), null("int").alias("nbits"), null("boolean").alias("bit"))
 
@@ -168,46 +175,54 @@ def kv_range_delete(spark, d):
 @query(f"{K} SELECT key, value FROM val")
 def kv_merge_scan(spark, d):
     log = message_log(spark, d)
-    old = log.filter("gen <= 4")
+    half = middle(log)
     # keys that the base has lost still have their deletes in the log above it
-    return shown(L.merge_scan(L.resolve(old), log.filter("gen > 4")))
+    return shown(L.merge_scan(L.resolve(L.as_of(log, half)), log.filter(F.col("gen") > half)))
 
 
 @query(f"{K} SELECT key, value FROM val WHERE key >= {low} AND key < {high}")
 def kv_apply_range(spark, d):
     log = L.key_range(message_log(spark, d), key(LOW), key(HIGH))
-    return shown(L.merge_scan(L.resolve(log.filter("gen <= 4")), log.filter("gen > 4")))
+    half = middle(log)
+    return shown(L.merge_scan(L.resolve(L.as_of(log, half)), log.filter(F.col("gen") > half)))
 
 
 @query(f"{K} SELECT key, value FROM val")
 def join_full_outer_merge(spark, d):
     """The older half's values and what the newer half alone gives, side by side, the newer written over."""
     log = message_log(spark, d)
-    newer = log.filter("gen > 4")
-    base, touched = L.resolve(log.filter("gen <= 4")), newer.select("key").distinct().withColumn("new", F.lit(True))
+    half = middle(log)
+    newer = log.filter(F.col("gen") > half)
+    base, touched = L.resolve(L.as_of(log, half)), newer.select("key").distinct().withColumn("new", F.lit(True))
     both = base.withColumnRenamed("value", "old").join(touched, "key", "full_outer")
     kept = both.filter("new IS NULL").select("key", F.col("old").alias("value"))
     return shown(kept.unionByName(L.merge_scan(base.join(touched, "key", "left_semi"), newer)))
 
 
+def seen(spark, d) -> DataFrame:
+    """The log as a snapshot in the middle of its generations sees it."""
+    log = message_log(spark, d)
+    return L.as_of(log, middle(log))
+
+
 def _snap_sql(cond: str = "") -> str:
-    return f"WITH {LOG_SQL}, seen AS (SELECT * FROM log WHERE gen <= {SNAPSHOT}), {value_sql('seen')} SELECT key, value FROM val {cond}"
+    return f"WITH {LOG_SQL}, seen AS (SELECT * FROM log WHERE gen <= (SELECT max(gen) // 2 FROM log)), {value_sql('seen')} SELECT key, value FROM val {cond}"
 
 
 @query(_snap_sql(f"WHERE key >= {low} AND key < {high}"))
 def snap_range(spark, d):
-    log = L.as_of(message_log(spark, d), SNAPSHOT)
-    return shown(L.key_range(L.resolve(log), key(LOW), key(HIGH)))
+    log = seen(spark, d)
+    return shown(L.resolve(L.key_range(log, key(LOW), key(HIGH))))
 
 
 @query(_snap_sql(f"WHERE key = printf('%016X', 41)"))
 def snap_get(spark, d):
-    return shown(L.resolve(L.as_of(message_log(spark, d), SNAPSHOT).filter(F.col("key") == key(41))))
+    return shown(L.resolve(seen(spark, d).filter(F.col("key") == key(41))))
 
 
 @query(_snap_sql())
 def snap_open(spark, d):
-    return shown(L.resolve(L.as_of(message_log(spark, d), SNAPSHOT)))
+    return shown(L.resolve(seen(spark, d)))
 
 
 @query(f"{K} SELECT value FROM val")
@@ -236,7 +251,7 @@ def prj_decode_chunk_key(spark, d):
 
 @query(f"{K} SELECT key, value FROM val WHERE key > {low} AND key <= {high}")
 def flt_key_range(spark, d):
-    return shown(L.key_range(values(spark, d), key(LOW), key(HIGH), low_open=True, high_open=False))
+    return shown(L.resolve(L.key_range(message_log(spark, d), key(LOW), key(HIGH), low_open=True, high_open=False)))
 
 
 @query("SELECT p_partkey, list_contains(list_transform(range(8), lambda i: (p_partkey >> (8 * i)::INTEGER) & 255), 0) AS has_nul FROM part")
@@ -263,7 +278,10 @@ def ord_key(spark, d):
 
 @query(f"{K} SELECT key, value FROM val WHERE key >= {low} ORDER BY key LIMIT 20")
 def ord_limit(spark, d):
-    return shown(L.key_range(values(spark, d), key(LOW)).orderBy("key").limit(20))
+    # the first keys that have a value are chosen before any value is put together
+    log = L.key_range(message_log(spark, d), key(LOW))
+    first = L.live_messages(log).select("key").distinct().orderBy("key").limit(20)
+    return shown(L.resolve(log.join(F.broadcast(first), "key", "left_semi")).orderBy("key"))
 
 
 @query(f"{K} SELECT min(key) AS key FROM val WHERE key >= {high}")

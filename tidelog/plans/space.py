@@ -74,9 +74,11 @@ SEG = "tier, disk, segment"
 STATE = f"{A_}, cell AS (SELECT {SEG}, begin_ + k AS block, arg_max(op, time) AS op FROM alloc, (SELECT unnest(range(8)) AS k) AS r WHERE k < n {{cond}} GROUP BY {SEG}, begin_ + k)"
 
 
-@query(STATE.format(cond="AND time <= 5000") + f" SELECT {SEG}, block, op FROM cell")
+@query(STATE.format(cond="AND time <= (SELECT max(time) // 2 FROM alloc)") + f" SELECT {SEG}, block, op FROM cell")
 def win_bitmap_at(spark, d):
-    return A.bitmap(allocation_log(spark, d).filter("time <= 5000"), *SEG.split(", "))
+    log = allocation_log(spark, d)
+    half = (log.agg(F.max("time")).first()[0] or 0) // 2
+    return A.bitmap(log.filter(F.col("time") <= half), *SEG.split(", "))
 
 
 RUNS = STATE.format(cond="") + f", every_ AS (SELECT s.tier, s.disk, s.segment, b AS block, coalesce(c.op, 0) AS op FROM (SELECT DISTINCT {SEG} FROM alloc) AS s CROSS JOIN (SELECT unnest(range({SEGMENT})) AS b) AS g LEFT JOIN cell AS c ON c.tier = s.tier AND c.disk = s.disk AND c.segment = s.segment AND c.block = g.b), isle AS (SELECT {SEG}, block, block - row_number() OVER (PARTITION BY {SEG} ORDER BY block) AS g FROM every_ WHERE op = 0), runs AS (SELECT {SEG}, CAST(min(block) AS INTEGER) AS start, CAST(count(*) AS INTEGER) AS length FROM isle GROUP BY {SEG}, g)"

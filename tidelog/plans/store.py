@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import bytes as by
 from ..functions import chunks as C
 from ..functions import storage as S
 from ..operators import catalog as K
@@ -81,14 +82,14 @@ def obj_read_at(spark, d):
 named(lambda spark, d: O.read_at(objects(spark, d), chunks(spark, d), 100, 400, CHUNK).select("object_id", "n"), "join_object_chunks", f"SELECT object_id, n FROM ({B + READ})")
 
 
-WRITES = "w AS (SELECT doc_id AS object_id, doc_id AS seq, doc_id % 300 AS off, left(text, 400) AS data FROM documents)"
+WRITES = "w AS (SELECT doc_id AS object_id, doc_id AS seq, doc_id % 300 AS off, coalesce(text, '') AS data FROM documents)"
 
 
 def writes(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("object_id"), F.col("doc_id").alias("seq"), (F.col("doc_id") % 300).alias("offset"), F.substring("text", 1, 400).alias("data"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("object_id"), F.col("doc_id").alias("seq"), (F.col("doc_id") % 300).alias("offset"), F.coalesce("text", F.lit("")).alias("data"))
 
 
-@query(f"WITH {WRITES} SELECT object_id, CAST(c AS BIGINT) AS chunk_id, greatest(off, c * 128) - c * 128 AS begin, substr(data, CAST(greatest(off, c * 128) - off + 1 AS BIGINT), CAST(least(off + length(data), c * 128 + 128) - greatest(off, c * 128) AS BIGINT)) AS data FROM w, (SELECT unnest(range(8)) AS c) AS r WHERE c * 128 + 128 > off AND c * 128 < off + length(data)")
+@query(f"WITH {WRITES} SELECT object_id, CAST(c AS BIGINT) AS chunk_id, greatest(off, c * 128) - c * 128 AS begin, substr(data, CAST(greatest(off, c * 128) - off + 1 AS BIGINT), CAST(least(off + length(data), c * 128 + 128) - greatest(off, c * 128) AS BIGINT)) AS data FROM (SELECT *, unnest(range(off // 128, (off + length(data) - 1) // 128 + 1)) AS c FROM w WHERE length(data) > 0)")
 def obj_write_at(spark, d):
     return O.write_chunks(writes(spark, d), CHUNK).select("object_id", "chunk_id", "begin", "data")
 
@@ -159,8 +160,8 @@ def obj_rename(spark, d):
 
 @query(f"{B} SELECT object_id, size + 10 AS from_end, CASE WHEN 100 + object_id >= 0 THEN 100 + object_id END AS from_current, CASE WHEN object_id - 50 >= 0 THEN object_id - 50 END AS from_start FROM objects")
 def obj_seek(spark, d):
-    at, size, by = F.lit(100), F.col("size"), F.col("object_id")
-    return objects(spark, d).select("object_id", O.seek(at, size, "end", F.lit(10)).alias("from_end"), O.seek(at, size, "current", by).alias("from_current"), O.seek(at, size, "start", by - 50).alias("from_start"))
+    at, size, step = F.lit(100), F.col("size"), F.col("object_id")
+    return objects(spark, d).select("object_id", O.seek(at, size, "end", F.lit(10)).alias("from_end"), O.seek(at, size, "current", step).alias("from_current"), O.seek(at, size, "start", step - 50).alias("from_start"))
 
 
 @query(f"WITH {WRITES} SELECT object_id, object_id % 64 AS cursor, CAST(coalesce(sum(length(data)) OVER (PARTITION BY object_id % 64 ORDER BY object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM w")
@@ -274,6 +275,12 @@ def snapshots(spark, d):
     return table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("ds_id"), F.col("o_orderkey").alias("gen"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("name"))
 
 
+def older_snapshots(spark, d):
+    """The snapshots of the older half of generations."""
+    rows = snapshots(spark, d)
+    return rows.filter(F.col("gen") < (rows.agg(F.max("gen")).first()[0] or 0) // 2)
+
+
 DEAD = "dead AS (SELECT l_suppkey % 20 AS ds_id, l_orderkey AS died_gen, l_orderkey - l_partkey % 500 AS birth, CAST(l_quantity AS BIGINT) AS size FROM lineitem)"
 
 
@@ -299,13 +306,13 @@ def join_snapshot_deadlist(spark, d):
 named(lambda spark, d: join_snapshot_deadlist(spark, d), "snap_delete", ORACLE_SQL["join_snapshot_deadlist"])
 
 
-@query(f"WITH {SNAPS}, {DEAD}, l AS (SELECT ds_id, max(gen) AS g FROM s WHERE gen < 30000 GROUP BY ds_id) SELECT CASE WHEN coalesce(g, -1) < birth THEN 'removed' ELSE 'preserved' END AS fate, count(*) AS n, CAST(sum(size) AS BIGINT) AS blocks FROM dead AS d LEFT JOIN l ON l.ds_id = d.ds_id GROUP BY 1")
+@query(f"WITH {SNAPS}, {DEAD}, l AS (SELECT ds_id, max(gen) AS g FROM s WHERE gen < (SELECT max(gen) // 2 FROM s) GROUP BY ds_id) SELECT CASE WHEN coalesce(g, -1) < birth THEN 'removed' ELSE 'preserved' END AS fate, count(*) AS n, CAST(sum(size) AS BIGINT) AS blocks FROM dead AS d LEFT JOIN l ON l.ds_id = d.ds_id GROUP BY 1")
 def snap_cow(spark, d):
-    fate = K.copy_on_write(deadlist(spark, d), snapshots(spark, d).filter("gen < 30000"))
+    fate = K.copy_on_write(deadlist(spark, d), older_snapshots(spark, d))
     return fate.groupBy("fate").agg(F.count("*").alias("n"), F.sum("size").alias("blocks"))
 
 
-named(lambda spark, d: K.copy_on_write(deadlist(spark, d), snapshots(spark, d).filter("gen < 30000")).filter("fate = 'removed'").groupBy("ds_id").agg(F.count("*").alias("n")), "flt_ptr_generation", f"WITH {SNAPS}, {DEAD}, l AS (SELECT ds_id, max(gen) AS g FROM s WHERE gen < 30000 GROUP BY ds_id) SELECT d.ds_id, count(*) AS n FROM dead AS d LEFT JOIN l ON l.ds_id = d.ds_id WHERE coalesce(g, -1) < birth GROUP BY d.ds_id")
+named(lambda spark, d: K.copy_on_write(deadlist(spark, d), older_snapshots(spark, d)).filter("fate = 'removed'").groupBy("ds_id").agg(F.count("*").alias("n")), "flt_ptr_generation", f"WITH {SNAPS}, {DEAD}, l AS (SELECT ds_id, max(gen) AS g FROM s WHERE gen < (SELECT max(gen) // 2 FROM s) GROUP BY ds_id) SELECT d.ds_id, count(*) AS n FROM dead AS d LEFT JOIN l ON l.ds_id = d.ds_id WHERE coalesce(g, -1) < birth GROUP BY d.ds_id")
 
 
 @query(f"WITH {SNAPS}, new AS (SELECT 's' || o_orderkey AS name, (o_custkey + o_orderkey % 2) % 20 AS ds_id FROM orders) SELECT new.ds_id, new.name, CASE WHEN s.name IS NULL THEN 'created' ELSE 'already exists' END AS status FROM new LEFT JOIN s ON s.ds_id = new.ds_id AND s.name = new.name")
@@ -343,3 +350,38 @@ def join_tier_access(spark, d):
 
 
 named(lambda spark, d: join_tier_access(spark, d), "obj_create_access", ORACLE_SQL["join_tier_access"])
+
+
+# Bytes: two writes over each object, the second over the first's middle or beyond its end, merged into chunks and read back.
+BYTES = """
+    WITH v AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, doc_id % 5 * 100 AS off, doc_id % 7 * 300 + 50 AS w_at, printf('%08X', doc_id) AS y FROM documents
+    ), f AS (
+        SELECT doc_id, w_at, y, repeat('00', off) || x AS z FROM v
+    ), w AS (
+        SELECT doc_id, CASE WHEN length(z) < 2 * w_at + 8 THEN left(z || repeat('00', CAST(w_at + 4 AS BIGINT)), 2 * w_at) || y ELSE left(z, 2 * w_at) || y || substr(z, 2 * w_at + 9) END AS z FROM f
+    )"""
+
+
+def byte_writes(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("object_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    first = rows.select("object_id", F.lit(0).cast("long").alias("seq"), (F.col("object_id") % 5 * 100).alias("offset"), F.col("text").alias("data"))
+    return first.unionByName(rows.select("object_id", F.lit(1).cast("long").alias("seq"), (F.col("object_id") % 7 * 300 + 50).alias("offset"), by.be_encode(F.col("object_id"), 4).alias("data")))
+
+
+@query(BYTES + " SELECT doc_id AS object_id, CAST(c AS BIGINT) AS chunk_id, upper(substr(z, CAST(c * 2048 + 1 AS BIGINT), 2048)) AS data FROM (SELECT doc_id, z, unnest(range((length(z) // 2 - 1) // 1024 + 1)) AS c FROM w) WHERE replace(substr(z, CAST(c * 2048 + 1 AS BIGINT), 2048), '00', '') <> ''")
+def obj_write_chunks(spark, d):
+    """What chunks hold after all writes; chunks that no write touched do not exist."""
+    chunks = O.apply_writes(byte_writes(spark, d), 1024)
+    # a chunk in the middle is as long as its writes reach: filled up here, as a read does
+    last = O.grown_sizes(byte_writes(spark, d))
+    full = chunks.join(last, "object_id").select("object_id", "chunk_id", by.zero_extend(F.col("data"), F.least(F.lit(1024), F.col("size") - F.col("chunk_id") * 1024)).alias("data"))
+    return full.select("object_id", "chunk_id", F.hex("data").alias("data")).filter(F.replace("data", F.lit("00"), F.lit("")) != "")
+
+
+@query(BYTES + " SELECT doc_id AS object_id, CAST(greatest(least(900, length(z) // 2 - 700), 0) AS BIGINT) AS n, upper(substr(z, 1401, 1800)) AS data FROM w")
+def obj_read_bytes(spark, d):
+    """900 bytes from byte 700 of each object, across chunks, zero where nothing was written."""
+    writes = byte_writes(spark, d)
+    read = O.read_at(O.grown_sizes(writes), O.apply_writes(writes, 1024), 700, 900, 1024)
+    return read.select("object_id", "n", F.hex("data").alias("data"))

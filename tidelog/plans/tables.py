@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import bytes as by
 
-#: Generation of the snapshot that queries read.
-SNAPSHOT = 4
 #: Characters of a chunk of the test objects.
 CHUNK = 128
 
@@ -50,8 +48,9 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts of documents in chunks of CHUNK characters; every third chunk is left out, as in a sparse object."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("object_id"), "text", F.explode(F.sequence(F.lit(0), F.expr(f"(greatest(length(text), 1) - 1) div {CHUNK}").cast("int"))).alias("chunk"))
-    return rows.filter("chunk % 3 <> 2").select("object_id", F.col("chunk").cast("long").alias("chunk_id"), F.substring(F.col("text"), F.col("chunk") * CHUNK + 1, F.lit(CHUNK)).alias("data"))
+    numbers = F.filter(F.sequence(F.lit(0), F.expr(f"(greatest(length(text), 1) - 1) div {CHUNK}").cast("int")), lambda c: c % 3 != 2)
+    cut = F.transform(numbers, lambda c: F.struct(c.cast("long").alias("chunk_id"), F.substring(F.col("text"), c * CHUNK + 1, F.lit(CHUNK)).alias("data")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("object_id"), F.explode(cut).alias("c")).select("object_id", "c.*")
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
