@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that the contracts name.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of narrow tables (ids, hashes) that may be broadcast: some 40 MB as a hash table. They are counted first.
-BROADCAST_ROWS = 1_000_000
+#: Rows of narrow tables (ids, hashes) that may be broadcast: some 8 MB as a hash table. They are counted first.
+BROADCAST_ROWS = 200_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -88,6 +89,21 @@ def few(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, forget: Callable[[], None]) -> None:
+    """Says how a worker forgets what an operator remembers from task to task."""
+    _remembered[name] = forget
+
+
+def works_on(name: str) -> None:
+    """Called at the start of a task: the worker forgets what other operators have left."""
+    for other, forget in _remembered.items():
+        if other != name:
+            forget()
+
+
 def text_or_empty(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 

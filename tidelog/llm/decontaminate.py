@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, remembers, works_on
 
 Q = 10
 #: Edits that a passage may have, as a share of the item's characters.
@@ -277,10 +277,12 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 _indexes: dict[int, Index] = {}
+remembers("decontaminate", _indexes.clear)
 
 
 def _index(block: list[tuple[int, str]]) -> Index:
     """The index of a block of items, kept by the worker for its next batches and tasks."""
+    works_on("decontaminate")
     key = hash(tuple(block))
     if key not in _indexes:
         _indexes.clear()
@@ -323,6 +325,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are written, so that a worker holds one block.
     """
     spark, n, schema = docs.sparkSession, len(docs.columns), docs.schema
+    is_text = dict(docs.dtypes)["text"] == "string"  # else a copy of it as text goes behind the columns
+    place = docs.columns.index("text") if is_text else n
     for k, block in enumerate(item_blocks(benchmark)):
         if k:
             docs = materialize(docs, "clean")
@@ -334,9 +338,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for at in range(0, batch.num_rows, SLICE):
                     part = batch.slice(at, SLICE)
                     clean = np.ones(part.num_rows, bool)
-                    clean[[t for t, *_ in index.search([x or "" for x in part.column(n).to_pylist()], parts=True)]] = False
+                    clean[[t for t, *_ in index.search([x or "" for x in part.column(place).to_pylist()], parts=True)]] = False
                     own = pa.RecordBatch.from_arrays(part.columns[:n], schema=pa.schema(list(part.schema)[:n]))
                     yield own.filter(pa.array(clean))
 
-        docs = docs.select("*", F.col("text").cast("string").alias(fresh(docs, "_text")[0])).mapInArrow(run, schema)
+        copy = [] if is_text else [F.col("text").cast("string").alias(fresh(docs, "_text")[0])]
+        docs = docs.select("*", *copy).mapInArrow(run, schema)
     return docs

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembers, works_on
+
 #: The sample: so many documents of each language, those with the least hash in as many strata, and so many characters
 #: of each language and of all; of more languages than these the ones with most documents.
 SAMPLE_DOCS = 64
@@ -231,6 +233,17 @@ def _slices(texts: list[str]):
 
 
 _models: dict[int, Model] = {}
+remembers("langid", _models.clear)
+
+
+def _model(texts: dict[str, list[str]]) -> Model:
+    """The model of a sample, kept by the worker for its next tasks."""
+    works_on("langid")
+    key = zlib.crc32(repr(sorted(texts.items())).encode())
+    if key not in _models:
+        _models.clear()
+        _models[key] = Model(texts)
+    return _models[key]
 
 
 def identify(docs: DataFrame, texts: dict[str, list[str]] | None = None) -> DataFrame:
@@ -241,17 +254,14 @@ def identify(docs: DataFrame, texts: dict[str, list[str]] | None = None) -> Data
     any length are parsed as a whole; no rows give no rows; other columns are not looked at.
     """
     texts = sample_texts(docs) if texts is None else texts
-    key = zlib.crc32(repr(sorted(texts.items())).encode())
 
     def predict(batches):
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(texts)
+        model = _model(texts)
         for batch in batches:
             whole = [t or "" for t in batch.column("text").to_pylist()]
             for lo, hi in _slices(whole):
                 part = batch.slice(lo, hi - lo)
-                lang, score = zip(*_models[key].predict(whole[lo:hi]), strict=True)
+                lang, score = zip(*model.predict(whole[lo:hi]), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, few, fresh, materialize
+from .common import Workspace, few, fresh, materialize, remembers, works_on
 from .graph import components, meet
 
 #: Symbols of a signature, and how many of them, of 16 bits each, make up the keys; the others have 8 bits.
@@ -58,6 +58,7 @@ class _Words(dict):
 
 
 _words = _Words()
+remembers("near_dedup", _words.clear)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -116,6 +117,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 
     def run(batches):
+        works_on("near_dedup")
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import works_on
+
 #: Tokens of a full sequence; a power of two.
 LENGTH = 1024
 #: The token that ends a document.
@@ -138,6 +140,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_id
     names = [c.split()[0] for c in schema.split(", ")]
 
     def cut(batches):
+        works_on("packing")
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         end = END.to_bytes(4, "little")
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, remembers, works_on
 
 #: Labelled rows and pool rows that the models are fitted on, at most (about; chosen by hash).
 LABELLED, POOL = 3000, 3000
@@ -47,6 +47,7 @@ class _Buckets(dict):
 
 
 _buckets = _Buckets()
+remembers("quality", _buckets.clear)
 
 TEXT_STATS = 9
 
@@ -216,18 +217,23 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 def _scored(docs: DataFrame, model: CoTrained, schema, result) -> DataFrame:
     """What `result` makes of a batch of docs, its three scores and the model."""
-    inputs = _with_inputs(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    n = len(docs.columns)
+    n, kinds = len(docs.columns), dict(docs.dtypes)
+    # columns that have the type that the views read are read where they are, others as copies behind docs
+    wanted = {"text": "string", "source": "string", "lang": "string", "n_chars": "bigint"}
+    copies = [c for c, kind in wanted.items() if kinds.get(c) != kind]
+    extra = [(F.col(c) if c in docs.columns else F.lit(None)).cast(wanted[c]).alias(name) for c, name in zip(copies, fresh(docs, *INPUTS), strict=False)]
+    places = [n + copies.index(c) if c in copies else docs.columns.index(c) for c in wanted]
 
     def run(batches):
+        works_on("quality")
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                own = pa.RecordBatch.from_arrays(part.columns[n:], names=list(INPUTS))
+                own = pa.RecordBatch.from_arrays([part.column(i) for i in places], names=list(INPUTS))
                 yield result(pa.RecordBatch.from_arrays(part.columns[:n], schema=pa.schema(list(part.schema)[:n])), held.value.scores(*_views(own, INPUTS)), held.value)
 
-    return inputs.mapInArrow(run, schema)
+    return docs.select("*", *extra).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
