@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,37 @@ def threshold_plan(tiers: DataFrame, threshold: float = FULL) -> DataFrame:
     return rows.filter("low_full IS NOT NULL").select("tier", (F.col("full") >= threshold).alias("tight"), demotes.alias("demote"), F.when(demotes, desired).otherwise(0).alias("desired"))
 
 
+class MigrationPolicy(ABC):
+    """Which objects move between tiers: the extension point of a policy loop, see streaming.ingest.policy_stream."""
+
+    @abstractmethod
+    def promote(self, objects: DataFrame, plan: DataFrame) -> DataFrame:
+        """(object_id, tier, target) of objects (object_id, tier, freq, size) that move up; plan is a threshold_plan."""
+
+    @abstractmethod
+    def demote(self, objects: DataFrame, plan: DataFrame) -> DataFrame:
+        """(object_id, tier, target) of objects that move down."""
+
+    def moves(self, objects: DataFrame, tiers: DataFrame, threshold: float = FULL) -> DataFrame:
+        """All moves of one turn: an object that would do both stays."""
+        plan = threshold_plan(tiers, threshold)
+        both = self.promote(objects, plan).unionByName(self.demote(objects, plan))
+        return both.groupBy("object_id").agg(F.min("tier").alias("tier"), F.min("target").alias("target"), F.count("*").alias("n")).filter("n = 1").drop("n")
+
+
+class LeastFrequentlyUsed(MigrationPolicy):
+    """Promotes the most and demotes the least used objects."""
+
+    def __init__(self, promote_blocks: int = PROMOTE_BLOCKS):
+        self.promote_blocks = promote_blocks
+
+    def promote(self, objects: DataFrame, plan: DataFrame) -> DataFrame:
+        return promote(objects, plan.select("tier", "tight"), self.promote_blocks)
+
+    def demote(self, objects: DataFrame, plan: DataFrame) -> DataFrame:
+        return demote(objects, plan.filter("demote").select("tier", "desired"))
+
+
 def tier_states(objects: DataFrame, requests: DataFrame) -> DataFrame:
     """(tier, s1, s2, s3, reward, n_requests): mean temperature, mean of temperature by size, response time, reward.
 

@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ids of a bucket when scans meet records.
 SCAN_BUCKET = 128
 
 
+def zipf_rank(u: Column, n: int, theta: float = 0.99) -> Column:
+    """The rank, from 1 to n, that a number u of [0, 1) draws: the usual closed form for Zipf's distribution."""
+    zeta, alpha, eta, second = zipf_constants(n, theta)
+    rest = F.lit(1) + F.floor(n * F.pow(eta * u - eta + 1, F.lit(alpha)))
+    return F.when(u * zeta < 1, 1).when(u * zeta < second, 2).otherwise(F.least(rest, F.lit(n))).cast("long")
+
+
+def zipf_constants(n: int, theta: float) -> tuple[float, float, float, float]:
+    zeta = sum(1 / i**theta for i in range(1, n + 1))
+    second = 1 + 0.5**theta
+    return zeta, 1 / (1 - theta), (1 - (2 / n) ** (1 - theta)) / (1 - second / zeta), second
+
+
+def _so_far(ops: DataFrame, own: Column) -> DataFrame:
+    """ops with `before`, the sum of own over all operations up to each: by ranges of seq, of which only the sums meet in one place."""
+    ranged = ops.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("part", F.spark_partition_id())
+    counted = ranged.groupBy("part").agg(F.sum(own).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counted.select("part", before.alias("earlier")))  # one row per partition
+    in_part = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("own", F.sum(own).over(in_part)).join(starts, "part").withColumn("before", F.col("earlier") + F.col("own")).drop("part", "own", "earlier")
+
+
 def reads(records: DataFrame, ops: DataFrame) -> DataFrame:
     """(seq, id, value): what each operation reads."""
     return ops.join(records, "id", "left").select("seq", "id", "value")
@@ -30,31 +53,28 @@ def mixed(records: DataFrame, ops: DataFrame, read_percent: int) -> DataFrame:
 def latest_reads(records: DataFrame, ops: DataFrame, read_percent: int) -> DataFrame:
     """(seq, id): reads of recent records while others are inserted: the id is the newest one less id % 10.
 
-    How many inserts came before a read is a running count by ranges of seq: only the ranges' counts are summed up in
-    one place.
+    How many inserts came before a read is a running count, see _so_far.
     """
-    ranged = ops.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("part", F.spark_partition_id())
-    own = F.when(F.col("dice") >= read_percent, 1).otherwise(0)
-    counted = ranged.groupBy("part").agg(F.sum(own).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(counted.select("part", before.alias("before")))  # one row per partition
     size = F.broadcast(records.agg(F.count("*").alias("size")))
-    in_part = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranged.withColumn("own", F.sum(own).over(in_part)).join(starts, "part").crossJoin(size)
-    live = F.col("size") + F.col("before") + F.col("own")
+    rows = _so_far(ops, F.when(F.col("dice") >= read_percent, 1).otherwise(0)).crossJoin(size)
+    live = F.col("size") + F.col("before")
     return rows.filter(F.col("dice") < read_percent).select("seq", F.greatest(live - F.col("id") % 10, F.lit(1)).alias("id"))
 
 
 def scans(records: DataFrame, ops: DataFrame, read_percent: int) -> DataFrame:
-    """(seq, n, first, last): scans of seq % 100 + 1 ids from an id.
+    """(seq, n, first, last): scans of seq % 100 + 1 ids from an id, while the other operations insert "v<seq>" after the largest id.
 
-    A scan meets the records of the buckets that it reaches, so the range join is an equal one.
+    A scan meets the records of the buckets that it reaches, so the range join is an equal one, and sees what was
+    inserted before it.
     """
     asked = ops.filter(F.col("dice") < read_percent).select("seq", F.col("id").alias("low"), (F.col("id") + F.col("seq") % 100 + 1).alias("high"))
     bucket = lambda c: F.floor(c / SCAN_BUCKET)
     reached = asked.withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high") - 1))))
-    rows = records.withColumn("bucket", bucket(F.col("id")))
-    inside = (rows["bucket"] == reached["bucket"]) & (F.col("id") >= F.col("low")) & (F.col("id") < F.col("high"))
+    top = F.broadcast(records.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))
+    new = _so_far(ops.filter(F.col("dice") >= read_percent), F.lit(1)).crossJoin(top)
+    new = new.select((F.col("top") + F.col("before")).alias("id"), F.concat(F.lit("v"), F.col("seq").cast("string")).alias("value"), F.col("seq").alias("born"))
+    rows = records.select("id", "value", F.lit(-1).cast("long").alias("born")).unionByName(new).withColumn("bucket", bucket(F.col("id")))
+    inside = (rows["bucket"] == reached["bucket"]) & (F.col("id") >= F.col("low")) & (F.col("id") < F.col("high")) & (F.col("born") < F.col("seq"))
     met = reached.join(rows, inside, "left")
     return met.groupBy("seq").agg(F.count("id").alias("n"), F.min("value").alias("first"), F.max("id").alias("last"))
 

@@ -186,7 +186,14 @@ def fn_labels(spark, d):
 
 # Workloads: a table of operations over a table of records.
 REC = "rec AS (SELECT p_partkey AS id, p_name AS value FROM part)"
-OPS = "op AS (SELECT event_id AS seq, (event_id * 7919 + user_id) % 2000 AS id, event_id % 100 AS dice FROM events)"
+KEYS, THETA = 2000, 0.99
+_ZETA, _ALPHA, _ETA, _SECOND = (f"CAST('{x!r}' AS DOUBLE)" for x in W.zipf_constants(KEYS, THETA))
+OPS = f"""op AS (
+        SELECT event_id AS seq, event_id % 100 AS dice,
+               CAST(CASE WHEN u * {_ZETA} < 1 THEN 1 WHEN u * {_ZETA} < {_SECOND} THEN 2
+                         ELSE least(1 + floor({KEYS} * pow({_ETA} * u - {_ETA} + 1, {_ALPHA})), {KEYS}) END AS BIGINT) AS id
+        FROM (SELECT event_id, ((event_id * 7919 + user_id) % {KEYS} + CAST('0.5' AS DOUBLE)) / {KEYS} AS u FROM events)
+    )"""
 
 
 def records(spark, d):
@@ -194,7 +201,9 @@ def records(spark, d):
 
 
 def operations(spark, d):
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), ((F.col("event_id") * 7919 + F.col("user_id")) % 2000).alias("id"), (F.col("event_id") % 100).alias("dice"))
+    """Operations on keys drawn by Zipf's law; a product stands for the random number so that runs agree."""
+    u = ((F.col("event_id") * 7919 + F.col("user_id")) % KEYS + 0.5) / KEYS
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), W.zipf_rank(u, KEYS, THETA).alias("id"), (F.col("event_id") % 100).alias("dice"))
 
 
 def _mixed(reads: int) -> str:
@@ -221,7 +230,7 @@ def wl_ycsb_d(spark, d):
     return W.latest_reads(records(spark, d), operations(spark, d), 95)
 
 
-@query(f"WITH {REC}, {OPS}, sc AS (SELECT seq, id AS low, seq % 100 + 1 AS n FROM op WHERE dice < 95) SELECT seq, count(r.id) AS n, min(r.value) AS first, max(r.id) AS last FROM sc LEFT JOIN rec AS r ON r.id >= low AND r.id < low + n GROUP BY seq")
+@query(f"WITH {REC}, {OPS}, sc AS (SELECT seq, id AS low, seq % 100 + 1 AS n FROM op WHERE dice < 95), every_ AS (SELECT id, value, -1 AS born FROM rec UNION ALL SELECT (SELECT max(id) FROM rec) + row_number() OVER (ORDER BY seq), 'v' || seq, seq FROM op WHERE dice >= 95) SELECT seq, count(r.id) AS n, min(r.value) AS first, max(r.id) AS last FROM sc LEFT JOIN every_ AS r ON r.id >= low AND r.id < low + n AND r.born < sc.seq GROUP BY seq")
 def wl_ycsb_e(spark, d):
     return W.scans(records(spark, d), operations(spark, d), 95)
 

@@ -39,7 +39,11 @@ def part(name: str, module, of: str, *columns: str):
 
 def folder(spark) -> str:
     """A new folder that the driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidelog-")
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not shared:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tidelog-")
     return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/query-{uuid.uuid4().hex}"
 
 
@@ -264,33 +268,34 @@ def tel_object_grid(spark, d):
 def str_sync(spark, d):
     """The log committed by a stream in generations, then resolved."""
     path, src = folder(spark), folder(spark)
-    message_log(spark, d).coalesce(1).write.parquet(src)
+    message_log(spark, d).write.parquet(src)
     stream = spark.readStream.schema(L.LOG_SCHEMA).parquet(src)
     ingest.commit_stream(stream, path, f"{folder(spark)}").awaitTermination()
     return kv.shown(L.resolve(ingest.read_commits(spark, path)))
 
 
-def _streamed(spark, d, make, mode: str):
-    src, name = folder(spark), f"q{uuid.uuid4().hex}"
+def _streamed(spark, d, make, *keys: str):
+    """What a stream over accesses has counted, kept by batches in a folder: no state comes to the driver."""
+    src, out = folder(spark), folder(spark)
     rows = access_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     rows.write.parquet(src)
     stream = spark.readStream.schema(rows.schema).parquet(src)
-    make(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    ingest.keep_latest(make(stream), out, folder(spark)).awaitTermination()
+    return ingest.read_latest(spark, out, *keys)
 
 
 @query("SELECT user_id AS object_id, count(*) AS freq, CAST(user_id % 3 AS INTEGER) AS last_tier FROM events GROUP BY user_id")
 def str_lfu_update(spark, d):
-    return _streamed(spark, d, ingest.frequency_stream, "complete")
+    return _streamed(spark, d, ingest.frequency_stream, "object_id")
 
 
 @query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type")
 def str_db_msgs(spark, d):
-    return _streamed(spark, d, lambda s: s.groupBy("kind").agg(F.count("*").alias("n")), "complete")
+    return _streamed(spark, d, lambda s: s.groupBy("kind").agg(F.count("*").alias("n")), "kind")
 
 
 @query("SELECT user_id AS object_id, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS freq FROM events GROUP BY 1, 2")
 def str_windowed_frequency(spark, d):
     """Event-time windows over accesses, an addition of ours."""
-    found = _streamed(spark, d, lambda s: ingest.windowed_frequency(s, "1 day", "3650 days"), "complete")
+    found = _streamed(spark, d, lambda s: ingest.windowed_frequency(s, "1 day", "3650 days"), "window", "object_id")
     return found.select("object_id", F.col("window.start").cast("timestamp_ntz").alias("day"), "freq")

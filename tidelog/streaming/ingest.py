@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import log as L
+from ..operators.policy import MigrationPolicy
 
 
 def commit_stream(messages: DataFrame, path: str, checkpoint: str, period: str | None = None) -> StreamingQuery:
@@ -42,3 +43,33 @@ def windowed_frequency(accesses: DataFrame, width: str, late: str) -> DataFrame:
 def compact_commits(spark, path: str, upto: int, out: str) -> None:
     """Writes the generations up to one as a single compacted log."""
     L.compact(read_commits(spark, path, upto)).write.mode("overwrite").parquet(out)
+
+
+def policy_stream(accesses: DataFrame, policy: MigrationPolicy, tiers: DataFrame, path: str, checkpoint: str, threshold: float = 0.95) -> StreamingQuery:
+    """Runs a policy over each micro-batch of accesses (object_id, tier, seq, size): path/turn=<batch> holds its moves.
+
+    The frequencies within a batch decide, as a turn of the policy looks at what has happened since the last one.
+    tiers: tier, free, total. A batch that runs again overwrites its own turn.
+    """
+
+    def turn(batch: DataFrame, number: int) -> None:
+        objects = batch.groupBy("object_id").agg(F.count("*").alias("freq"), F.max_by("tier", "seq").alias("tier"), F.max("size").alias("size"))
+        policy.moves(objects, tiers, threshold).write.mode("overwrite").parquet(f"{path}/turn={number}")
+
+    return accesses.writeStream.foreachBatch(turn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_latest(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the rows that each micro-batch of an aggregated stream has changed as path/batch=<number>, in update mode."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark, path: str, *keys: str) -> DataFrame:
+    """Of what keep_latest has written, the newest row of each key."""
+    rows = spark.read.parquet(path)
+    own = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*own), "batch").alias("_r")).select(*keys, *[f"_r.{c}" for c in own])
