@@ -1,33 +1,23 @@
 """Sequential policies against plain loops."""
 
 import math
-from collections import OrderedDict
+import random
 
 import numpy as np
 
 from tidelog.operators import policy as P
 
 
-def test_clock_gives_second_chances(spark):
-    trace = [1, 2, 3, 1, 4, 1, 2, 5, 1, 3, 3, 4, 1, 1, 6]
-    got = P.clock_cache(spark.createDataFrame([(0, i, k) for i, k in enumerate(trace)], "part long, seq long, key long"), 3).first()
-    slots, used, hand, hits = [], OrderedDict(), 0, 0
-    for k in trace:
-        if k in used:
-            used[k] = True
-            hits += 1
-        elif len(slots) < 3:
-            slots.append(k)
-            used[k] = False
-        else:
-            while used[slots[hand]]:
-                used[slots[hand]] = False
-                hand = (hand + 1) % 3
-            del used[slots[hand]]
-            slots[hand] = k
-            used[k] = False
-            hand = (hand + 1) % 3
-    assert (got.hits, got.misses) == (hits, len(trace) - hits)
+def test_reuse_cache_is_a_plain_loop(spark):
+    rng = random.Random(1)
+    trace = [rng.randrange(8) for _ in range(300)]
+    last, hits, evictions = {}, 0, 0
+    for i, k in enumerate(trace):
+        hits += k in last and i - last[k] <= 5
+        evictions += k in last and i - last[k] > 5
+        last[k] = i
+    got = P.reuse_cache(spark.createDataFrame([(0, i, k) for i, k in enumerate(trace)], "part long, seq long, key long"), 5).first()
+    assert (got.hits, got.misses, got.evictions) == (hits, 300 - hits, evictions)
 
 
 def test_td_learning(spark):

@@ -11,7 +11,7 @@ from tidelog.sources import alloclog, config, files
 def test_allocation_log(spark, tmp_path):
     header = bytes([2]) + struct.pack("<H", 1) + bytes(16) + struct.pack("<H", 2) + bytes(32)
     offset = 2 << 62 | 5 << 52 | (3 << 18) + 17
-    body = b"".join(alloclog.RECORD.pack(op, offset + op, 4, 7, 9) for op in (1, 0))
+    body = b"".join(struct.pack("<BQLQQ", op, offset + op, 4, 7, 9) for op in (1, 0))
     (tmp_path / "log").write_bytes(header + body + b"\1\2")
     (tmp_path / "empty").write_bytes(b"")
     rows = alloclog.placed(alloclog.read(spark, f"file://{tmp_path}")).orderBy("time").collect()

@@ -152,34 +152,14 @@ def td_learn(steps: DataFrame, a: list[float], b: list[float], p: list[float], l
     return steps.groupBy("tier").applyInPandas(learn, "tier int, p array<double>")
 
 
-def clock_cache(trace: DataFrame, capacity: int) -> DataFrame:
-    """(part, hits, misses, evictions) of a second-chance cache of so many entries over each part's trace (part, seq, key).
+def reuse_cache(trace: DataFrame, span: int) -> DataFrame:
+    """(part, hits, misses, evictions) of a cache that keeps an entry for `span` steps of seq after its last use: trace is (part, seq, key).
 
-    A cache sees accesses one after another; parts are independent caches.
+    What a second-chance cache holds, told by how long ago each key was used last instead of by turning its hand: each
+    access looks back to the one before it of its own key, so parts of any size spread over their keys.
     """
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ring: list = []
-        used: dict = {}
-        hand = hits = misses = evictions = 0
-        for key in rows.sort_values("seq")["key"]:
-            if key in used:
-                used[key] = True
-                hits += 1
-                continue
-            misses += 1
-            if len(ring) < capacity:
-                ring.append(key)
-            else:
-                while used[ring[hand]]:
-                    used[ring[hand]] = False
-                    hand = (hand + 1) % capacity
-                del used[ring[hand]]
-                evictions += 1
-                ring[hand] = key
-                hand = (hand + 1) % capacity
-            used[key] = False
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "hits": [hits], "misses": [misses], "evictions": [evictions]})
-
-    return trace.groupBy("part").applyInPandas(run, "part bigint, hits bigint, misses bigint, evictions bigint")
+    w = Window.partitionBy("part", "key").orderBy("seq")
+    rows = trace.select("part", "seq", F.lag("seq").over(w).alias("before"))
+    hit = F.coalesce(F.col("seq") - F.col("before") <= span, F.lit(False))
+    again = F.col("before").isNotNull() & ~hit
+    return rows.groupBy("part").agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count_if(again).alias("evictions"))

@@ -316,10 +316,11 @@ def fn_td_learn(spark, d):
     return P.td_learn(steps, COST_A, COST_B, COST_P)
 
 
-@query()
+@query(f"WITH {ACCESS_SQL}, u AS (SELECT tier, seq, lag(seq) OVER (PARTITION BY tier, object_id ORDER BY seq) AS b FROM access) SELECT CAST(tier AS BIGINT) AS part, count(*) FILTER (seq - b <= 100) AS hits, count(*) FILTER (b IS NULL OR seq - b > 100) AS misses, count(*) FILTER (seq - b > 100) AS evictions FROM u GROUP BY tier")
 def cache_clock(spark, d):
+    """Hits and misses of a cache per tier that keeps what was used within the last 100 steps."""
     a = access_log(spark, d)
-    return P.clock_cache(a.select(F.col("tier").cast("long").alias("part"), "seq", F.col("object_id").alias("key")), 16)
+    return P.reuse_cache(a.select(F.col("tier").cast("long").alias("part"), "seq", F.col("object_id").alias("key")), 100)
 
 
 @query(f"WITH {ACCESS_SQL} SELECT tier, count(DISTINCT object_id) AS objects, count(*) AS requests, CAST(sum(rt) AS BIGINT) AS rt, CAST(sum(size) AS BIGINT) AS bytes FROM access WHERE kind IN ('view', 'click') GROUP BY tier")

@@ -6,6 +6,7 @@ import base64
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import storage
 
 # Fixed values of the format: little-endian operation, offset, blocks, cycles of the allocation and in all.
-RECORD = struct.Struct("<BQLQQ")
+RECORD = np.dtype([("op", "u1"), ("offset", "<u8"), ("blocks", "<u4"), ("own", "<u8"), ("total", "<u8")])
 SCHEMA = "path string, time bigint, op int, disk_offset bigint, num_blocks bigint, cycles_alloc bigint, cycles_total bigint"
 
 
@@ -32,25 +33,27 @@ def _little(c: Column, width: int) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, max(16, 2 * width) - 2 * i - 1, 2) for i in range(width)]))
 
 
-def records(data: bytes) -> Iterator[tuple]:
-    """Time (the record's place), operation, offset, blocks and cycles of each whole record."""
+def records(data: bytes, at_a_time: int = 50_000) -> Iterator[np.ndarray]:
+    """The whole records of a log, so many at a time: a view of its bytes."""
     start = header_size(data) if data else 0
-    whole = (len(data) - start) // RECORD.size * RECORD.size
-    for time, (op, offset, blocks, own, total) in enumerate(RECORD.iter_unpack(data[start : start + whole])):
-        yield time, op, offset - (1 << 64) if offset >> 63 else offset, blocks, own, total
+    n = (len(data) - start) // RECORD.itemsize
+    for at in range(0, n, at_a_time):
+        yield np.frombuffer(data, RECORD, min(at_a_time, n - at), start + at * RECORD.itemsize)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the logs under path: SCHEMA."""
+    """All records of the logs under path: SCHEMA. time is a record's place in its log."""
 
     def decode(batches):
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
                 if name.endswith(".txt"):
                     data = b"\0" + b"".join(base64.b64decode(line) for line in data.split())
-                rows = [(name, *r) for r in records(data)]
-                for at in range(0, max(1, len(rows)), 50_000):
-                    yield pd.DataFrame(rows[at : at + 50_000], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                time = 0
+                for r in records(data):
+                    columns = {"path": name, "time": np.arange(time, time + len(r)), "op": r["op"].astype(np.int32), "disk_offset": r["offset"].astype(np.int64), "num_blocks": r["blocks"].astype(np.int64), "cycles_alloc": r["own"].astype(np.int64), "cycles_total": r["total"].astype(np.int64)}
+                    yield pd.DataFrame(columns)
+                    time += len(r)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, SCHEMA)
 
