@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNBOUNDED = Window.unboundedPreceding
+from . import ranges
 
 
 def signed(op: Column, n: Column) -> Column:
@@ -21,8 +21,9 @@ def free_space(log: DataFrame, capacity: DataFrame, *by: str) -> DataFrame:
 
 def running_space(log: DataFrame, *by: str) -> DataFrame:
     """log with `change`, the blocks given back less those taken up to each row."""
-    w = Window.partitionBy(*by).orderBy("time").rowsBetween(UNBOUNDED, 0)
-    return log.withColumn("change", F.sum(signed(F.col("op"), F.col("n"))).over(w))
+    own = signed(F.col("op"), F.col("n"))
+    rows = ranges.sum_ahead(log, own, [F.asc("time")], *by, name="change")
+    return rows.withColumn("change", F.col("change") + F.coalesce(own, F.lit(0)))
 
 
 def bitmap(log: DataFrame, *by: str) -> DataFrame:
@@ -58,12 +59,12 @@ def first_fit(runs: DataFrame, need: Column, *by: str) -> DataFrame:
 def last_known(points: DataFrame, asked: DataFrame, time: str, value: str, *by: str) -> DataFrame:
     """asked (by..., time) with the last value at or before each time.
 
-    Both are lined up by time in one window, so no row meets more than its predecessor.
+    Both are lined up by time, so no row meets more than its predecessor.
     """
     a = asked.select(*by, time, F.lit(1).alias("asks"), F.lit(None).cast(points.schema[value].dataType).alias(value))
     b = points.select(*by, time, F.lit(0).alias("asks"), value)
-    w = Window.partitionBy(*by).orderBy(time, "asks").rowsBetween(UNBOUNDED, 0) if by else Window.orderBy(time, "asks").rowsBetween(UNBOUNDED, 0)
-    return a.unionByName(b).withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("asks = 1").drop("asks")
+    rows = ranges.last_known(a.unionByName(b), F.col(value), [F.asc(time), F.asc("asks")], *by, name=value)
+    return rows.filter("asks = 1").drop("asks")
 
 
 def choose_class(requests: DataFrame, strategy: DataFrame, free: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions import bytes as by
 from ..functions import chunks as C
 from . import log as L
+from . import ranges
 
 
 def fold_info(messages: DataFrame) -> DataFrame:
@@ -107,16 +108,12 @@ def allocated(objects: DataFrame, chunks: DataFrame) -> DataFrame:
 def create(objects: DataFrame, names: DataFrame) -> DataFrame:
     """(object_key, object_id) of names that are not there yet, with the next ids in order of their names.
 
-    Ids are dealt by ranges: each range of names counts its rows, and only these counts are summed up.
+    Ids are dealt by ranges of names.
     """
     new = names.join(objects, "object_key", "left_anti").distinct()
     top = objects.agg(F.coalesce(F.max("object_id"), F.lit(-1)).alias("top"))
-    ranged = new.repartitionByRange("object_key").sortWithinPartitions("object_key").withColumn("part", F.spark_partition_id())
-    in_part = Window.partitionBy("part").orderBy("object_key")
-    counted = ranged.groupBy("part").agg(F.count("*").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(counted.select("part", before.alias("before")).crossJoin(top))  # one row per partition
-    return ranged.withColumn("k", F.row_number().over(in_part)).join(starts, "part").select("object_key", (F.col("top") + F.col("before") + F.col("k")).alias("object_id"))
+    numbered = ranges.sum_ahead(new.select("object_key"), F.lit(1), [F.asc("object_key")])
+    return numbered.crossJoin(F.broadcast(top)).select("object_key", (F.col("top") + F.col("before") + 1).alias("object_id"))
 
 
 def rename(objects: DataFrame, old: Column, new: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import learning
+from . import ranges
 
 #: Fixed values of the default policy: blocks promoted at a time, and how full a tier may be.
 PROMOTE_BLOCKS, FULL = 1024, 0.95
@@ -23,8 +24,7 @@ def until_full(objects: DataFrame, limit: Column, order: list[Column], *by: str)
 
     before is the size of those ahead of each.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return objects.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).filter(F.col("before") < limit)
+    return ranges.sum_ahead(objects, F.col("size"), order, *by).filter(F.col("before") < limit)
 
 
 def promote(objects: DataFrame, tight: DataFrame, desired: int = PROMOTE_BLOCKS) -> DataFrame:
@@ -103,8 +103,8 @@ def tier_states(objects: DataFrame, requests: DataFrame) -> DataFrame:
 
 def decayed_reward(requests: DataFrame, beta: float = learning.BETA) -> DataFrame:
     """(tier, reward) with the decay as meant: by place over number of requests, in order of seq."""
-    w = Window.partitionBy("tier")
-    rows = requests.withColumns({"i": F.row_number().over(w.orderBy("seq")) - 1, "n": F.count("*").over(w)})
+    n = F.broadcast(requests.groupBy("tier").agg(F.count("*").alias("n")))  # a row per tier
+    rows = ranges.sum_ahead(requests.select("tier", "seq", "rt"), F.lit(1), [F.asc("seq")], "tier", name="i").join(n, "tier")
     return rows.groupBy("tier").agg((F.sum(F.col("rt") * F.exp(-beta * F.col("i") / F.col("n"))) / F.max("n")).alias("reward"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 #: Ids of a bucket when scans meet records.
 SCAN_BUCKET = 128
 
@@ -23,13 +25,8 @@ def zipf_constants(n: int, theta: float) -> tuple[float, float, float, float]:
 
 
 def _so_far(ops: DataFrame, own: Column) -> DataFrame:
-    """ops with `before`, the sum of own over all operations up to each: by ranges of seq, of which only the sums meet in one place."""
-    ranged = ops.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("part", F.spark_partition_id())
-    counted = ranged.groupBy("part").agg(F.sum(own).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(counted.select("part", before.alias("earlier")))  # one row per partition
-    in_part = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.withColumn("own", F.sum(own).over(in_part)).join(starts, "part").withColumn("before", F.col("earlier") + F.col("own")).drop("part", "own", "earlier")
+    """ops with `before`, the sum of own over all operations up to each."""
+    return ranges.sum_ahead(ops, own, [F.asc("seq")]).withColumn("before", F.col("before") + own)
 
 
 def reads(records: DataFrame, ops: DataFrame) -> DataFrame:

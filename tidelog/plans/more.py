@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bytes as by
 from ..operators import accounting as A
 from ..operators import actions, telemetry
 from ..operators import log as L
+from ..operators.ranges import folder, sum_ahead
 from ..sources import alloclog, files
 from ..streaming import ingest
 from . import kv, measures, space, store
@@ -37,16 +34,6 @@ def part(name: str, module, of: str, *columns: str):
     ORACLE_SQL[name] = f"SELECT {', '.join(columns)} FROM ({module.ORACLE_SQL[of]})"
 
 
-def folder(spark) -> str:
-    """A new folder that the driver and executors share."""
-    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-    if not shared:
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/query-{uuid.uuid4().hex}"
-
-
 part("fn_be_encode", kv, "fn_bytes", "event_id", "be")
 part("fn_be_decode", kv, "fn_bytes", "event_id", "decoded")
 part("fn_fill_zero", kv, "fn_bytes", "event_id", "padded")
@@ -203,8 +190,8 @@ def cycles(spark, d):
 
 @query(f"WITH {CYCLES} SELECT tier, CAST(row_number() OVER (PARTITION BY tier ORDER BY time) AS INTEGER) AS i, own, total FROM cy WHERE own <> 0")
 def alc_cycles(spark, d):
-    w = Window.partitionBy("tier").orderBy("time")
-    return cycles(spark, d).filter("own <> 0").select("tier", F.row_number().over(w).alias("i"), "own", "total")
+    rows = sum_ahead(cycles(spark, d).filter("own <> 0"), F.lit(1), [F.asc("time")], "tier", name="i")
+    return rows.select("tier", (F.col("i") + 1).cast("int").alias("i"), "own", "total")
 
 
 @query(f"WITH {CYCLES} SELECT tier, time, round(CASE WHEN total <> 0 THEN own / total END, 9) AS share FROM cy")

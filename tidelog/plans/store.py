@@ -167,11 +167,10 @@ def obj_seek(spark, d):
 @query(f"WITH {WRITES} SELECT object_id, object_id % 64 AS cursor, CAST(coalesce(sum(length(data)) OVER (PARTITION BY object_id % 64 ORDER BY object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM w")
 def obj_cursor(spark, d):
     """Where each of 64 cursors stands before each of its writes."""
-    from pyspark.sql import Window
+    from ..operators.ranges import sum_ahead
 
-    w = Window.partitionBy("cursor").orderBy("object_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = writes(spark, d).withColumn("cursor", F.col("object_id") % 64)
-    return rows.select("object_id", "cursor", F.coalesce(F.sum(F.length("data")).over(w), F.lit(0)).alias("position"))
+    rows = writes(spark, d).select("object_id", (F.col("object_id") % 64).alias("cursor"), F.length("data").alias("n"))
+    return sum_ahead(rows, F.col("n"), [F.asc("object_id")], "cursor", name="position").drop("n")
 
 
 @query("SELECT printf('doc-%08d', doc_id) AS object_key, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic FROM labels")
