@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 #: The default object store has no name of its own and is not listed by name.
 DEFAULT_STORE = ""
 
@@ -40,8 +42,8 @@ def freed_by_delete(snapshots: DataFrame, deadlist: DataFrame) -> DataFrame:
     marks = near.select("ds_id", F.col("gen").alias("at"), F.lit(True).alias("is_mark"), mark)
     dead = deadlist.select("ds_id", F.col("died_gen").alias("at"), F.lit(False).alias("is_mark"), "birth", "size")
     # lined up by generation, a block after the last snapshot before its death: no block meets more than that one
-    line = Window.partitionBy("ds_id").orderBy("at", "is_mark").rowsBetween(Window.unboundedPreceding, 0)
-    rows = marks.unionByName(dead, allowMissingColumns=True).withColumn("mark", F.last("mark", ignorenulls=True).over(line))
+    line = marks.unionByName(dead, allowMissingColumns=True)
+    rows = ranges.last_known(line, F.col("mark"), [F.asc("at"), F.asc("is_mark")], "ds_id", name="mark")
     found = rows.filter(~F.col("is_mark") & F.col("mark").isNotNull() & (F.col("birth") > F.coalesce("mark.prev_gen", F.lit(-1))))
     return found.groupBy("ds_id", F.col("mark.gen").alias("gen")).agg(F.sum("size").alias("blocks"))
 
